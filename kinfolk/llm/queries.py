@@ -56,3 +56,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfolk.llm.langid import identify
 
     return identify(_table(spark, sf_dir, "documents"))
+
+
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfolk.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfolk.llm.langid import id_crc
+    from kinfolk.llm.lm_scoring import score
+
+    return score(_table(spark, sf_dir, "documents"), id_crc("doc_id") % 7 == 2)

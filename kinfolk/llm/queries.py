@@ -69,3 +69,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfolk.llm.lm_scoring import score
 
     return score(_table(spark, sf_dir, "documents"), id_crc("doc_id") % 7 == 2)
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfolk.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)

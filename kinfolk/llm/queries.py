@@ -75,3 +75,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfolk.llm.ngram_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfolk.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

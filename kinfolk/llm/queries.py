@@ -81,3 +81,25 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfolk.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited crops of every 20th vector's picture, searched among the pictures of all vectors.
+
+    ``link`` rows pair a query with a class of equal pictures; ``member`` rows give each picture's class.
+    """
+    from pyspark.sql import functions as F
+
+    from kinfolk.llm.images import classes, find_copies, pictures
+    from kinfolk.llm.storage import stored
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    images = stored(pictures(vectors), "images")
+    members = stored(classes(images), "image-classes")
+    own = members.where(F.col("image_id") == F.col("class_id")).select("image_id").distinct()
+    index = images.join(own, "image_id", "left_semi")
+    found = find_copies(pictures(vectors.where(F.col("vec_id") % 20 == 0), edit=True), index)
+    rows = found.select(F.lit("link").alias("kind"), "query_id", F.col("image_id").alias("class_id"), F.lit(None).cast("long").alias("image_id"), "n_matches", "shift_y", "shift_x")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n_matches", "long"), ("shift_y", "int"), ("shift_x", "int"))]
+    member = members.select(F.lit("member").alias("kind"), F.lit(None).cast("long").alias("query_id"), "class_id", "image_id", *none)
+    return rows.unionByName(member)

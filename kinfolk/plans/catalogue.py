@@ -446,7 +446,7 @@ def id_list_output(spark, d):
 
 
 @query(f"""WITH {_OWNED}, {ORDERS}, l AS (SELECT q_id, array_agg(i_id) AS ids FROM o GROUP BY 1) SELECT 'repeated_row' AS fault, count(*) AS n FROM (SELECT q_id FROM l GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated_id', count(*) FROM l WHERE len(ids) <> len(list_distinct(ids))
-    UNION ALL SELECT 'bad_prefix', count(*) FROM l WHERE len(list_filter(ids, x -> x % 7 = 0)) > 0 UNION ALL SELECT 'missing_row', count(*) FROM e WHERE q_id NOT IN (SELECT q_id FROM l) UNION ALL SELECT 'extra_row', count(*) FROM l WHERE q_id NOT IN (SELECT q_id FROM e)""")
+    UNION ALL SELECT 'bad_prefix', count(*) FROM l WHERE len(list_filter(ids, lambda x: x % 7 = 0)) > 0 UNION ALL SELECT 'missing_row', count(*) FROM e WHERE q_id NOT IN (SELECT q_id FROM l) UNION ALL SELECT 'extra_row', count(*) FROM l WHERE q_id NOT IN (SELECT q_id FROM e)""")
 def validate_lists(spark, d):
     owned = decide.one_owner(worlds.pairs(spark, d)).withColumn("i_id", F.concat(F.when(F.col("i_id") % 7 == 0, "X9-").otherwise("S3-"), F.col("i_id").cast("string")))
     lists = owned.groupBy("q_id").agg(F.array_join(F.collect_list("i_id"), ",").alias("ids"))

@@ -196,14 +196,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     )
 
 
-def lot(key: Column) -> Column:
-    """A uniform number in [0, 1) that the key decides."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit("mixing")), 11) / F.lit(float(2**53))
-
-
 def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows that stay when each is kept with its rate, with all their columns and no shuffle of texts."""
     model = DomainClassifier.fit(docs, labels)
     table = stored(with_posteriors(docs.select("doc_id", "text"), model).select("__n_tokens", *(f"__p_{d}" for d in DOMAINS)), "mixing-posteriors")
     rates = fit_rates(table, targets, 1.0)
-    return with_posteriors(docs, model).where(lot(F.col("doc_id")) < rates.column()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The filter names the row number, which keeps the optimiser from pushing it below the projections,
+    # where it would compute the posteriors again for each place that names them.
+    scored = with_posteriors(docs, model).withColumn("__row", F.monotonically_increasing_id())
+    stays = (F.col("__row") >= 0) & (lot(F.col("doc_id")) < rates.column())
+    return scored.where(stays).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def lot(key: Column) -> Column:
+    """A uniform number in [0, 1) that the key decides."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit("mixing")), 11) / F.lit(float(2**53))

@@ -203,7 +203,10 @@ def fold_expression(tree: tuple, filters: Mapping[str, Callable]) -> tuple:
         return tree
     tree = tuple(fold_expression(x, filters) if isinstance(x, tuple) else x for x in tree)
     if all(x[0] == "const" for x in tree if isinstance(x, tuple)):
-        return ("const", _expression(tree, filters)({}))
+        try:
+            return ("const", _expression(tree, filters)({}))
+        except TypeError:  # fails where it is rendered, if it ever is
+            return tree
     return tree
 
 

@@ -46,6 +46,9 @@ from kinfolk.llm.storage import stored
 SPARE = 2
 #: Size classes grow by this factor.
 CLASS_GROWTH = 1.6
+#: Bits of a parity bitmap for each element that may differ. A group's bitmaps are folded to its smallest, whose set
+#: may have half the elements of the largest: with four bits or more left, unrelated sets differ in twice the bound.
+BITS_APART = 8
 #: A unit of work holds two blocks of at most so many shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
 #: Members of a key group that are compared by bitmaps; a larger group joins as a whole (more work, same links).
@@ -140,9 +143,9 @@ class Keys:
         return np.concatenate(out)
 
     def bitmap(self, s: np.ndarray) -> bytes:
-        """Parity of the elements on each of 2^j bits, about three for each element that may differ."""
+        """Parity of the elements on each of 2^j bits, ``BITS_APART`` or more for each element that may differ."""
         apart = int(self.most_apart(2 * len(s)))
-        bits = 1 << max(6, (3 * apart - 1).bit_length())
+        bits = 1 << max(6, (BITS_APART * apart - 1).bit_length())
         odd = np.bincount((mixed(s + _P2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8)).tobytes()
 

@@ -7,10 +7,12 @@ reaches T or can't any more. Members that already share a component are skipped
 
 Neighbourhoods make that distributed without losing a link:
 
-1. Hash space is cut into H + 1 + SPARE parts, H being the largest symmetric difference that linked sets of
-   a size class can have. Linked sets then agree in SPARE + 1 parts at least, so they share the key of a
-   part that isn't empty (a set with more than SPARE empty parts emits keys for these, too). Keys are
-   grouped by one shuffle and read as a sorted stream.
+1. Hash space is cut into H + 1 + spare parts, H being the largest symmetric difference that linked sets of
+   a size class can have. Linked sets then agree in spare + 1 parts at least. Keys are grouped by one shuffle
+   and read as a sorted stream. Each set then leaves its most frequent keys, ``spare`` of them: parts that hold
+   a common passage only. One order of keys holds for all sets (empty parts, then the largest groups), so two
+   sets leave at most ``spare`` keys they share, and one is kept by both. A set with more than ``spare`` empty
+   parts emits keys for these, too.
 2. Sets that share a key are compared by parity bitmaps: the bits in which they differ are a lower bound of
    their symmetric difference. Only pairs that could be linked survive; each group yields a spanning forest
    of them, never its pairs. Identical groups are processed once.
@@ -37,13 +39,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfolk.llm.components import connected_components
 from kinfolk.llm.storage import stored
 
-SPARE = 2
+#: Parts beyond H + 1, at least; of a large H, one for every SPARE_SHARE.
+SPARE, SPARE_SHARE = 2, 4
+#: Weight of a key that is never left.
+NEVER = 1 << 40
 #: Size classes grow by this factor.
 CLASS_GROWTH = 1.6
 #: Bits of a parity bitmap for each element that may differ. A group's bitmaps are folded to its smallest, whose set
@@ -124,24 +129,39 @@ class Keys:
     def class_of(self, n: int) -> int:
         return int(np.searchsorted(self.bounds, n, side="right")) - 1
 
-    def of(self, s: np.ndarray) -> np.ndarray:
-        n, out = len(s), []
+    def parts(self, s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(size class, spare parts, starts, counts) for the set's class and, if it may have a partner there, the next."""
+        n = len(s)
         if n < self.bounds[0]:
-            return np.empty(0, np.uint64)
-        own, scrambled = self.class_of(n), mixed(s)
+            return
+        own = self.class_of(n)
         for k in (own, own + 1):
             if k > own and 100 * n < self.percent * self.bounds[k]:
-                break  # too small for a partner in the next class
-            parts = int(self.most_apart(2 * (int(self.bounds[k + 1]) - 1))) + 1 + SPARE
+                break
+            most = int(self.most_apart(2 * (int(self.bounds[k + 1]) - 1)))
+            spare = max(SPARE, most // SPARE_SHARE)
+            parts = most + 1 + spare
             starts = np.searchsorted(s, (np.arange(parts) * (2.0**64 / parts)).astype(np.uint64))
-            counts = np.diff(np.r_[starts, n])
-            full = np.flatnonzero(counts)
-            salt = np.array([k], np.uint64) * _P3
-            out.append(mixed(np.add.reduceat(scrambled, starts[full]) + mixed(full.astype(np.uint64) * _P2 + salt)))
-            if parts - len(full) > SPARE:
-                out.append(mixed(mixed(np.flatnonzero(counts == 0).astype(np.uint64) * _P2 + salt) + _P1))
+            yield k, spare, starts, np.diff(np.r_[starts, n])
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """Keys; the lowest bit tells the size class from the next."""
+        out, scrambled = [np.empty(0, np.uint64)], mixed(s)
+        for k, spare, starts, counts in self.parts(s):
+            full, salt = np.flatnonzero(counts), np.array([k], np.uint64) * _P3
+            found = [mixed(np.add.reduceat(scrambled, starts[full]) + mixed(full.astype(np.uint64) * _P2 + salt))]
+            if len(counts) - len(full) > spare:
+                found.append(mixed(mixed(np.flatnonzero(counts == 0).astype(np.uint64) * _P2 + salt) + _P1))
+            out.append(np.concatenate(found) & ~np.uint64(1) | np.uint64(k & 1))
         return np.concatenate(out)
 
+    def rooms(self, s: np.ndarray) -> list[int]:
+        """Keys that the set may leave, for even and odd size classes: the spare parts that aren't empty."""
+        out = [0, 0]
+        for k, spare, _, counts in self.parts(s):
+            out[k & 1] = max(0, spare - int((counts == 0).sum()))
+        return out
+
     def bitmap(self, s: np.ndarray) -> bytes:
         """Parity of the elements on each of 2^j bits, ``BITS_APART`` or more for each element that may differ."""
         apart = int(self.most_apart(2 * len(s)))
@@ -270,7 +290,7 @@ def linked_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None
 # --- Spark -------------------------------------------------------------------------------------
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, node, nid, bits of every row."""
+    """doc_id, n, node, nid, bits, rooms of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, keys = Shingler(words), Keys(percent)
@@ -278,12 +298,13 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sets = [shingle(t.as_py()) for t in batch.column(1)]
             nodes = [node_of(s) if len(s) else None for s in sets]
             bits = [keys.bitmap(s) if len(s) >= keys.bounds[0] else None for s in sets]
+            rooms = pa.array([keys.rooms(s) for s in sets], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([x and short_id(x) for x in nodes], pa.int64()), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "node", "nid", "bits"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([x and short_id(x) for x in nodes], pa.int64()), pa.array(bits, pa.binary()), rooms],
+                names=["doc_id", "n", "node", "nid", "bits", "rooms"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, nid long, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node binary, nid long, bits binary, rooms array<int>")
 
 
 def _key_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -311,43 +332,62 @@ def _key_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, nid long")
 
 
+GROUPS = "group long, nid long, members long, odd int, weight long"
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, nid): (group, nid) of keys that several nodes share; the group is its members' hash."""
-    seen: set[int] = set()
+    """From rows sorted by (key, nid): the members of keys that several nodes share, one group for keys with equal members.
 
-    def emit(key: np.ndarray, nid: np.ndarray) -> pa.RecordBatch | None:
+    ``weight`` is the number of keys. Pieces of a huge group come last in the order of keys and are never left.
+    """
+    held: dict[int, list] = {}
+    cut = None  # the huge group's key, of which pieces have gone out
+
+    def take(key: np.ndarray, nid: np.ndarray) -> int:
         new = np.r_[True, (key[1:] != key[:-1]) | (nid[1:] != nid[:-1])]
         key, nid = key[new], nid[new]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         counts = np.diff(np.r_[starts, len(key)])
-        group = mixed(np.add.reduceat(mixed(nid.view(np.uint64)), starts) + counts.astype(np.uint64) * _P1).view(np.int64)
-        fresh = counts > 1
-        for i in np.flatnonzero(fresh):
-            if (g := int(group[i])) in seen:
-                fresh[i] = False
-            elif len(seen) < 1_000_000:
-                seen.add(g)
-        if not fresh.any():
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(group[fresh], counts[fresh])), pa.array(nid[np.repeat(fresh, counts)])], names=["group", "nid"])
-
-    key, nid = np.empty(0, np.int64), np.empty(0, np.int64)
-    for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy()])
-        nid = np.concatenate([nid, batch.column(1).to_numpy()])
+        odd, piece = key[starts] & 1, key[starts] == cut if cut is not None else np.zeros(len(starts), bool)
+        group = mixed(np.add.reduceat(mixed(nid.view(np.uint64)), starts) + (2 * counts + odd).astype(np.uint64) * _P1 + piece.astype(np.uint64) * _P2).view(np.int64)
+        added = 0
+        for i in np.flatnonzero(counts > 1):
+            if (g := int(group[i])) in held:
+                held[g][3] += 1
+            else:
+                held[g] = [nid[starts[i] : starts[i] + counts[i]].copy(), 0 if piece[i] else int(counts[i]), int(odd[i]), NEVER if piece[i] else 1]
+                added += int(counts[i])
+        return added
+
+    def batch() -> pa.RecordBatch:
+        sizes = [len(x[0]) for x in held.values()]
+        columns = [np.array(list(held), np.int64), *(np.array([x[i] for x in held.values()], np.int64) for i in (1, 2, 3))]
+        group, members, odd, weight = (pa.array(np.repeat(c, sizes)) for c in columns)
+        out = pa.RecordBatch.from_arrays([group, pa.array(np.concatenate([x[0] for x in held.values()])), members, odd.cast(pa.int32()), weight], names=["group", "nid", "members", "odd", "weight"])
+        held.clear()
+        return out
+
+    key, nid, total = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    for b in batches:
+        key = np.concatenate([key, b.column(0).to_numpy()])
+        nid = np.concatenate([nid, b.column(1).to_numpy()])
         if not len(key):
             continue
         whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
         if whole:
-            if out := emit(key[:whole], nid[:whole]):
-                yield out
+            total += take(key[:whole], nid[:whole])
             key, nid = key[whole:], nid[whole:]
         elif len(key) > 4 * GROUP_MEMBERS:  # pieces of a huge group overlap in one member
-            if out := emit(key, nid):
-                yield out
+            cut = key[0]
+            total += take(key, nid)
             key, nid = key[-1:], nid[-1:]
-    if len(key) and (out := emit(key, nid)):
-        yield out
+        if total > 1_000_000 and held:
+            yield batch()
+            total = 0
+    if len(key):
+        take(key, nid)
+    if held:
+        yield batch()
 
 
 def _possible_links(percent: int):
@@ -413,11 +453,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     sets = stored(_sets(rows, words, percent), "ngram-sets")
     nodes = sets.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
 
-    grouped = _key_rows(known, words, percent).repartition("key").sortWithinPartitions("key", "nid").mapInArrow(_groups, "group long, nid long")
-    groups = stored(grouped.distinct(), "ngram-groups")
-    bitmaps = nodes.where(F.col("bits").isNotNull()).groupBy("nid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    grouped = _key_rows(known, words, percent).repartition("key").sortWithinPartitions("key", "nid").mapInArrow(_groups, GROUPS)
+    groups = stored(grouped.groupBy("group", "nid").agg(F.first("members").alias("members"), F.first("odd").alias("odd"), F.sum("weight").alias("weight")), "ngram-groups")
+    bitmaps = nodes.where(F.col("bits").isNotNull()).groupBy("nid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rooms").alias("rooms"))
+    order = Window.partitionBy("nid", "odd").orderBy(F.desc("members"), "group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     possible = (
-        groups.join(bitmaps.hint("merge"), "nid").select("group", "nid", "n", "bits").repartition("group").sortWithinPartitions("group", "nid")
+        groups.join(bitmaps.hint("merge"), "nid").withColumn("left", F.sum("weight").over(order)).where(F.col("left") > F.get("rooms", "odd")).select("group", "nid", "n", "bits").repartition("group").sortWithinPartitions("group", "nid")
         .mapInArrow(_possible_links(percent), "a long, b long")
     )
     near = stored(connected_components(possible), "ngram-near")

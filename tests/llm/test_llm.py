@@ -99,6 +99,53 @@ def test_divide_skip_and_keys_lose_nothing(seed):
     assert len(set(zip(label, found))) == len(set(label)) == len(set(found))
 
 
+@pytest.mark.parametrize("batch_rows", [7, 100_000])
+def test_sets_may_leave_frequent_keys(batch_rows, monkeypatch):
+    """Linked sets still share a key when each leaves its most frequent ones; huge groups' pieces stay."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 5)
+    rng, keys = np.random.default_rng(3), ngram_join.Keys(80)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    common = [draw(60), draw(40)]
+    base = [np.r_[draw(n), common[i % 2]] for i, n in enumerate(rng.integers(20, 160, 40))]
+    sets = [np.unique(np.r_[b[rng.random(len(b)) > rng.random() * 0.25], draw(rng.integers(0, 9))]) for b in base for _ in range(3)]
+    rows = sorted((int(k), i) for i, s in enumerate(sets) for k in keys.of(s).view(np.int64))
+    parts = [rows[at : at + batch_rows] for at in range(0, len(rows), batch_rows)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=["key", "nid"]) for part in parts]
+    weights, order = Counter(), {}
+    for out in ngram_join._groups(iter(batches)):
+        for group, nid, members, odd, weight in zip(*(c.to_pylist() for c in out.columns)):
+            weights[group, nid] += weight
+            order[group] = (odd, -members, group)
+    kept, left = defaultdict(set), Counter()
+    for group, nid in sorted(weights, key=lambda x: order[x[0]]):
+        odd = order[group][0]
+        left[nid, odd] += weights[group, nid]
+        if left[nid, odd] > keys.rooms(sets[nid])[odd]:
+            kept[group].add(nid)
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for group in kept.values():
+        first, *rest = group
+        for i in rest:
+            parent[find(i)] = find(first)
+    linked = 0
+    for i, s in enumerate(sets):
+        for j in range(i):
+            inter = len(np.intersect1d(s, sets[j]))
+            if 100 * inter >= 80 * (len(s) + len(sets[j]) - inter):
+                linked += 1
+                assert find(i) == find(j)
+                assert batch_rows < 100 or any(i in g and j in g for g in kept.values())
+    assert linked > 10 and sum(map(len, kept.values())) < len(weights)
+
+
 # --- packing -----------------------------------------------------------------------------------------
 
 def test_packing_round_trip(docs, none):

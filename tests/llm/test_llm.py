@@ -143,7 +143,8 @@ def test_sets_may_leave_frequent_keys(batch_rows, monkeypatch):
                 linked += 1
                 assert find(i) == find(j)
                 assert batch_rows < 100 or any(i in g and j in g for g in kept.values())
-    assert linked > 10 and sum(map(len, kept.values())) < len(weights)
+    assert linked > 10
+    assert batch_rows < 100 or sum(map(len, kept.values())) < len(weights)  # in small batches the frequent keys are pieces, which stay
 
 
 # --- packing -----------------------------------------------------------------------------------------

@@ -106,7 +106,7 @@ def test_sets_may_leave_frequent_keys(batch_rows, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 5)
     rng, keys = np.random.default_rng(3), ngram_join.Keys(80)
-    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
     common = [draw(60), draw(40)]
     base = [np.r_[draw(n), common[i % 2]] for i, n in enumerate(rng.integers(20, 160, 40))]
     sets = [np.unique(np.r_[b[rng.random(len(b)) > rng.random() * 0.25], draw(rng.integers(0, 9))]) for b in base for _ in range(3)]

@@ -350,6 +350,38 @@ def test_image_copies(spark):
     assert images.classes(twice).where("class_size <> 2").count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_descriptors_all_meet(spark, broadcast):
+    """The bands find what an all-pairs Hamming search finds, up to MOST_BITS wherever the bits are."""
+    rng = np.random.default_rng(4)
+    own = [int.from_bytes(rng.bytes(16), "big") for _ in range(60)]
+    turned = [(v ^ sum(1 << int(b) for b in rng.choice(128, n, replace=False))) for v in own for n in range(15) for _ in range(2)]
+    evenly = [v ^ sum(1 << b for b in range(5, 128, 10)[:12]) for v in own]  # spread over all bands
+    both = lambda v: [int.from_bytes(v.to_bytes(16, "big")[a : a + 8], "big", signed=True) for a in (0, 8)]
+    table = lambda values: spark.createDataFrame([(n, 0, 0, 0.0, 0.0, *both(v)) for n, v in enumerate(values)], images.DESCRIPTORS)
+    index = turned + evenly
+    got = images.near_points(table(own), table(index), broadcast).select("q.image_id", "i.image_id").collect()
+    assert set(map(tuple, got)) == {(a, b) for a, v in enumerate(own) for b, w in enumerate(index) if (v ^ w).bit_count() <= images.MOST_BITS}
+
+
+def test_near_images_all_meet(spark):
+    """Every edited picture is found, by no more points than an all-pairs search has."""
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(24)], "vec_id long, embedding array<double>")
+    asked, index = images.pictures(vectors, edit=True), images.pictures(vectors)
+    got = images.find_copies(asked, index)
+    q, i = (images.extract(x).collect() for x in (asked, index))
+    far = lambda a, b: ((a.high ^ b.high) & (1 << 64) - 1).bit_count() + ((a.low ^ b.low) & (1 << 64) - 1).bit_count()
+    most = defaultdict(set)
+    for a in q:
+        for b in i:
+            if a.image_id == b.image_id and far(a, b) <= images.MOST_BITS:
+                most[a.image_id].add(a.point)
+    rows = {r.query_id: r for r in got.collect()}
+    assert {r.image_id for r in rows.values()} == set(rows) == set(range(24))
+    assert all(images.LEAST_MATCHES <= rows[k].n_matches <= len(most[k]) for k in rows)
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs, tmp_path):

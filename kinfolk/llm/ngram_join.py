@@ -56,7 +56,7 @@ CLASS_GROWTH = 1.6
 BITS_APART = 8
 #: A unit of work holds two blocks of at most so many shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
-#: Members of a key group that are compared by bitmaps; a larger group joins as a whole (more work, same links).
+#: Members of a key group that are compared by bitmaps; a larger group, and a piece of one, joins as a whole (more work, same links).
 GROUP_MEMBERS = 100_000
 #: Representatives' ids are broadcast up to this many rows, else joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -377,10 +377,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if whole:
             total += take(key[:whole], nid[:whole])
             key, nid = key[whole:], nid[whole:]
-        elif len(key) > 4 * GROUP_MEMBERS:  # pieces of a huge group overlap in one member
-            cut = key[0]
-            total += take(key, nid)
-            key, nid = key[-1:], nid[-1:]
+        elif len(key) > 4 * GROUP_MEMBERS:
+            new = np.r_[True, nid[1:] != nid[:-1]]  # tasks emit copies of their own
+            key, nid = key[new], nid[new]
+            if len(key) > 4 * GROUP_MEMBERS:  # pieces of a huge group overlap in one member
+                cut = key[0]
+                total += take(key, nid)
+                key, nid = key[-1:], nid[-1:]
         if total > 1_000_000 and held:
             yield batch()
             total = 0
@@ -392,11 +395,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _possible_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, now, members = Keys(percent), None, []
+        keys, now, piece, members = Keys(percent), None, False, []
 
         def close() -> list[tuple[int, int]]:
             nids = [m[0] for m in members]
-            if len(members) > GROUP_MEMBERS:
+            if piece or len(members) > GROUP_MEMBERS:  # links may be with members of other pieces, so each joins as a whole
                 return list(zip(nids, nids[1:]))
             return [(nids[i], nids[j]) for i, j in possible_forest(keys, np.array([m[1] for m in members]), [m[2] for m in members])]
 
@@ -405,10 +408,10 @@ def _possible_links(percent: int):
 
         out: list[tuple[int, int]] = []
         for batch in batches:
-            for group, nid, n, bits in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for group, nid, n, bits, weight in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if group != now:
                     out += close() if len(members) > 1 else []
-                    now, members = group, []
+                    now, piece, members = group, weight >= NEVER, []
                 if not members or members[-1][0] != nid:
                     members.append((nid, n, bits))
             if len(out) > 50_000:
@@ -458,7 +461,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     bitmaps = nodes.where(F.col("bits").isNotNull()).groupBy("nid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rooms").alias("rooms"))
     order = Window.partitionBy("nid", "odd").orderBy(F.desc("members"), "group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     possible = (
-        groups.join(bitmaps.hint("merge"), "nid").withColumn("left", F.sum("weight").over(order)).where(F.col("left") > F.get("rooms", "odd")).select("group", "nid", "n", "bits").repartition("group").sortWithinPartitions("group", "nid")
+        groups.join(bitmaps.hint("merge"), "nid").withColumn("left", F.sum("weight").over(order)).where(F.col("left") > F.get("rooms", "odd")).select("group", "nid", "n", "bits", "weight").repartition("group").sortWithinPartitions("group", "nid")
         .mapInArrow(_possible_links(percent), "a long, b long")
     )
     near = stored(connected_components(possible), "ngram-near")

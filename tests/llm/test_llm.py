@@ -147,6 +147,27 @@ def test_sets_may_leave_frequent_keys(batch_rows, monkeypatch):
     assert batch_rows < 100 or sum(map(len, kept.values())) < len(weights)  # in small batches the frequent keys are pieces, which stay
 
 
+def test_pieces_of_huge_groups_join_whole(monkeypatch):
+    """Linked sets in different pieces of one key stay connected, also where every row comes several times."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 5)
+    rng, keys = np.random.default_rng(5), ngram_join.Keys(80)
+    sets = [np.unique(rng.integers(0, 2**64, 90 + i % 3, dtype=np.uint64)) for i in range(61)]
+    sets[60] = np.sort(np.r_[sets[0][1:], rng.integers(0, 2**64, 1, dtype=np.uint64)])
+    for copies, rows_a_batch in ((1, 7), (10, 7), (10, 33)):
+        rows = [(4, i) for i in range(61) for _ in range(copies)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + rows_a_batch])], names=["key", "nid"]) for at in range(0, len(rows), rows_a_batch)]
+        found = sorted(r[:2] + r[4:] for out in ngram_join._groups(iter(batches)) for r in zip(*(c.to_pylist() for c in out.columns)))
+        columns = [[r[0] for r in found], [r[1] for r in found], [len(sets[r[1]]) for r in found], [keys.bitmap(sets[r[1]]) for r in found], [r[2] for r in found]]
+        given = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "nid", "n", "bits", "weight"])
+        label = list(range(61))
+        for out in ngram_join._possible_links(80)(iter([given])):
+            for a, b in zip(*(c.to_pylist() for c in out.columns)):
+                label = [label[a] if x == label[b] else x for x in label]
+        assert label[0] == label[60]
+
+
 # --- packing -----------------------------------------------------------------------------------------
 
 def test_packing_round_trip(docs, none):

@@ -3,7 +3,7 @@
 Every task streams its documents through index shards of bounded size. A document is tokenised and
 closed with the end id; windows that it fills alone are cut off, and what is left (under one window)
 enters the shard. Over a full shard an inverted index of token ids with BM25 weights is built. A seed
-opens a window; its rarest terms retrieve the best unused neighbours, which fill the window in
+opens a window; all its terms retrieve the unused neighbours, as many as the window takes, which fill it in
 order of score. The neighbour that no longer fits is cut, and its rest is the next seed. Where nothing
 related is unused, the next unused document in input order takes the place.
 
@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 WINDOW, END = 2048, 1
 #: Tokens after which a shard is indexed and packed; bounds a task's memory.
 SHARD_TOKENS = 1 << 21
-QUERY_TERMS, NEIGHBOURS, K1, B = 24, 16, 1.2, 0.75
+#: Neighbours that are ordered at first; more follow while the window has room. Terms of a larger share of the items
+#: have rows of a matrix instead of lists.
+NEIGHBOURS, DENSE_SHARE = 16, 1 / 8
+K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -104,21 +107,34 @@ class BM25Index:
         self.owner = np.repeat(np.arange(self.n), sizes)[order]
         self.weight = (self.idf[self.terms] * tf * (K1 + 1) / (tf + norm))[order]
         self.lists = np.r_[0, np.cumsum(self.df)]
-
-    def neighbours(self, item: int, used: np.ndarray) -> np.ndarray:
-        """Unused items by falling score against the item's rarest shared terms."""
+        dense = np.flatnonzero(self.df > max(1, self.n * DENSE_SHARE))
+        self.dense_row = np.full(65536, -1)
+        self.dense_row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), self.n), np.float32)
+        for row, t in zip(self.dense, dense):
+            row[self.owner[self.lists[t] : self.lists[t + 1]]] = self.weight[self.lists[t] : self.lists[t + 1]]
+
+    def scores(self, item: int) -> np.ndarray:
+        """BM25 of every item against all the item's terms."""
         terms = self.terms[self.starts[item] : self.starts[item + 1]]
-        terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(self.df[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.lists[t], self.lists[t + 1]) for t in terms]
-        if not spans:
-            return np.empty(0, np.int64)
-        scores = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        scores[used] = 0
-        top = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        top = top[scores[top] > 0]
-        return top[np.lexsort((top, -scores[top]))]
+        rows = self.dense_row[terms]
+        out = self.dense[rows[rows >= 0]].sum(0).astype(np.float64)
+        spans = [slice(self.lists[t], self.lists[t + 1]) for t in terms[(rows < 0) & (self.df[terms] > 1)].tolist()]
+        if spans:
+            out += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        return out
+
+    def neighbours(self, item: int, left: np.ndarray, space: int) -> np.ndarray:
+        """Items with ids left by falling score, ties by number: all that share a term, or as many as hold ``space`` ids."""
+        scores = self.scores(item)
+        scores[left == 0] = 0
+        found, most = int((scores > 0).sum()), NEIGHBOURS
+        while True:
+            least = np.partition(scores, self.n - most)[self.n - most] if most < found else 0
+            top = np.flatnonzero((scores >= least) & (scores > 0))
+            if most >= found or left[top].sum() >= space:
+                return top[np.lexsort((top, -scores[top]))]
+            most *= 4
 
 
 def pack_shard(lengths: list[int], index: BM25Index | None, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -151,10 +167,10 @@ def pack_shard(lengths: list[int], index: BM25Index | None, window: int = WINDOW
         pieces.append(take(anchor, space))
         space -= pieces[-1][2]
         if space and index is not None:
-            queue = list(index.neighbours(anchor, used))
+            queue = index.neighbours(anchor, left, space).tolist()[::-1]
         seed = anchor
         while space:
-            item = int(queue.pop(0)) if queue else unused()
+            item = queue.pop() if queue else unused()
             pieces.append(take(item, space))
             space -= pieces[-1][2]
             seed = item

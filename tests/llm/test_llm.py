@@ -206,6 +206,34 @@ def test_fast_tokens_equal_the_library(text):
 
 # --- chat ----------------------------------------------------------------------------------------------
 
+def test_packing_scores_all_terms_and_fills_with_neighbours():
+    """Neighbours equal BM25 over all terms, and related items go before unrelated ones until the window is full."""
+    rng = np.random.default_rng(6)
+    items = [rng.zipf(1.3, rng.integers(5, 300)).clip(0, 3000).astype(np.uint16) for _ in range(120)]
+    # 0 shares its 30 rarest ids with 1 and 2, and 40 more frequent ids with 3, which holds none of the rarest.
+    rare, common = np.arange(5000, 5030), np.arange(6000, 6040)
+    items[:4] = [np.r_[rare, common].astype(np.uint16), rare.astype(np.uint16), rare.astype(np.uint16), common.astype(np.uint16)]
+    items += [common[:20].astype(np.uint16)] * 40
+    index, n = packing.BM25Index(items), len(items)
+    counts, mean = [Counter(x.tolist()) for x in items], np.mean([len(x) for x in items])
+    df = Counter(t for c in counts for t in c)
+    k1, b = packing.K1, packing.B
+    left = np.array([len(x) for x in items])
+    left[7] = 0
+    for seed in (0, 3, 9, 50):
+        want = [sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * (k1 + 1) / (c[t] + k1 * (1 - b + b * len(x) / mean)) for t in counts[seed] if t in c) for c, x in zip(counts, items)]
+        assert np.allclose(index.scores(seed)[np.arange(n) != seed], np.delete(want, seed), rtol=1e-4, atol=1e-4)
+        got = index.neighbours(seed, left, 10**9)
+        assert set(got.tolist()) == {i for i in range(n) if want[i] > 0 and left[i]}
+    assert 3 in index.neighbours(0, left, 10**9)
+    some = index.neighbours(9, left, 500)
+    assert left[some].sum() >= 500 and some.tolist() == index.neighbours(9, left, 10**9)[: len(some)].tolist()
+    # 40 short items are related to the seed; the unrelated ones come first in input order, and must wait.
+    short = [np.array([1, 2, 3], np.uint16)] + [np.array([50 + i] * 3, np.uint16) for i in range(60)] + [np.array([1, 70 + i, 2], np.uint16) for i in range(40)]
+    first = next(packing.pack_shard([3] * len(short), packing.BM25Index(short), window=3 * 41))
+    assert {i for i, _, _ in first} == {0, *range(61, 101)}
+
+
 def test_templates():
     run = lambda source, **v: "".join(t for t, _ in templates.compile_template(source)(**v))
     assert run("{% for m in ms %}{{ loop.index }}{{ m.a|upper }}{% if not loop.last %},{% endif %}{% endfor %}", ms=[{"a": "x"}, {"a": "y"}]) == "1X,2Y"

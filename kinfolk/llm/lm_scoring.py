@@ -12,9 +12,9 @@ A text's tokens are its lower-cased words and one end. P(token | history) is the
 
 Scale: counts and classes come from all training documents. Frequent words (a bounded dictionary,
 found by a histogram of counts, not by a global sort) are scored where the text is; the rest of
-the words meet their counts in a join, free of hot keys for that reason. Every training document gives
-``POSITIONS`` examples, so what the network learns from grows with the corpus: a start fitted on
-a bounded draw is refined by trainers on all examples, and their parameters are averaged.
+the words meet their counts in a join, free of hot keys for that reason. Every training token is an
+example, so what the network learns from grows with the corpus: a start fitted on a bounded draw
+is refined by trainers on all examples, and their parameters are averaged.
 
 Defined results
 ---------------
@@ -44,8 +44,9 @@ END = b""
 HISTORY, WIDTH, SINGLES, FORMS = 3, 24, 192, 64
 #: Words whose counts every task holds; a bound on the dictionary, not on what is scored.
 FREQUENT = 200_000
-#: Examples per training document; examples the start is fitted on; trainers at most.
-POSITIONS, START_EXAMPLES, TRAINERS = 32, 60_000, 512
+#: Examples per document of the start's draw; examples the start is fitted on; trainers at most; examples a trainer
+#: holds at once.
+POSITIONS, START_EXAMPLES, TRAINERS, BLOCK_EXAMPLES = 32, 60_000, 512, 320_000
 FLUSH_WORDS = 300_000
 
 
@@ -91,26 +92,31 @@ class LogBilinear:
         rng, n = np.random.default_rng(seed), len(self.bias)
         sums = [np.full_like(p, 1e-3) for p in self.parameters()]
         log_noise = np.log(noise * self.noise).astype(np.float32)
-        eye = np.eye(n + 1, dtype=np.float32)
+        places = np.arange(WIDTH)
+
+        def summed(rows: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
+            """Sums of the values' rows that share a number."""
+            return np.bincount((rows[:, None] * WIDTH + places).ravel(), values.ravel(), most * WIDTH).reshape(most, WIDTH).astype(np.float32)
+
         for _ in range(epochs):
             order = rng.permutation(len(examples))
             for at in range(0, len(order), batch):
-                x = examples[order[at : at + batch]]
+                x = examples[order[at : at + batch]].astype(np.int64)
                 h, y = x[:, :HISTORY], x[:, HISTORY]
-                drawn = rng.choice(n, noise, p=self.noise)
+                drawn, times = np.unique(rng.choice(n, noise, p=self.noise), return_counts=True)
                 seen = self.history[h]  # (batch, HISTORY, WIDTH)
                 guess = (seen * self.position).sum(1)
-                true = (guess * self.target[y]).sum(1) + self.bias[y] - log_noise[y]
+                wanted = self.target[y]
+                true = (guess * wanted).sum(1) + self.bias[y] - log_noise[y]
                 false = guess @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn]
                 up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - P(from the data)
-                down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-                hot_y, hot_d = eye[y, :n], eye[drawn, :n]
-                by_class = hot_y * up[:, None] + down @ hot_d  # (batch, n): each class's pull
-                d_guess = by_class @ self.target
-                d_history = np.zeros_like(self.history)
-                for i in range(HISTORY):
-                    d_history += eye[h[:, i]].T @ (d_guess * self.position[i])
-                grads = [d_history, (seen * d_guess[:, None]).sum(0), by_class.T @ guess, by_class.sum(0)]
+                down = -times.astype(np.float32) / (1 + np.exp(-np.clip(false, -30, 30)))
+                d_guess = up[:, None] * wanted + down @ self.target[drawn]
+                d_target, d_bias = summed(y, up[:, None] * guess, n), np.bincount(y, up, n).astype(np.float32)
+                d_target[drawn] += down.T @ guess
+                d_bias[drawn] += down.sum(0)
+                d_history = summed(h.ravel(), (d_guess[:, None] * self.position).reshape(-1, WIDTH), n + 1)
+                grads = [d_history, (seen * d_guess[:, None]).sum(0), d_target, d_bias]
                 for p, g, s in zip(self.parameters(), grads, sums):
                     g /= len(x)
                     s += g * g
@@ -206,51 +212,77 @@ class Vocabulary:
 
 # --- training ----------------------------------------------------------------------------------
 
-def draw_examples(docs: DataFrame, shared, text_col: str = "text") -> DataFrame:
-    """(examples binary): POSITIONS rows of int16 classes from every document, evenly spaced."""
+def class_sequences(docs: DataFrame, shared, text_col: str = "text") -> DataFrame:
+    """(classes binary): the int16 classes of all tokens of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary: Vocabulary = shared.value
         index = vocabulary.index()
-        before = len(vocabulary.class_tokens)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
                 words = words_of(text)
-                at = np.unique(((np.arange(POSITIONS) + 0.5) / POSITIONS * len(words)).astype(int))
-                out.append(np.array([[*(vocabulary.class_of(words[i - k], index) if i >= k else before for k in range(1, HISTORY + 1)), vocabulary.class_of(words[i], index)] for i in at], dtype=np.int16).tobytes())
-            yield pd.DataFrame({"examples": out})
-
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "examples binary")
+                at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+                classes = vocabulary.classes[at] if len(vocabulary.classes) else np.zeros(len(at), np.int16)
+                for i in np.flatnonzero(at < 0):
+                    classes[i] = vocabulary.singles + form_of(words[i])
+                out.append(classes.tobytes())
+            yield pd.DataFrame({"classes": out})
+
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "classes binary")
+
+
+def examples_of(sequences: list[bytes], before: int) -> np.ndarray:
+    """Every token as an example: HISTORY classes (nearest first; ``before`` where the text hasn't begun) and its own."""
+    classes = np.frombuffer(b"".join(sequences), np.int16)
+    sizes = np.array([len(s) // 2 for s in sequences])
+    place = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full((len(classes), HISTORY + 1), before, np.int16)
+    out[:, HISTORY] = classes
+    for k in range(1, HISTORY + 1):
+        inside = np.flatnonzero(place >= k)
+        out[inside, k - 1] = classes[inside - k]
+    return out
 
 
-def _examples(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), np.int16).reshape(-1, HISTORY + 1)
+def blocks_of(sequences: Iterator[bytes], before: int, most: int = BLOCK_EXAMPLES) -> Iterator[np.ndarray]:
+    """All examples of the sequences, in blocks of about ``most``."""
+    held, size = [], 0
+    for s in sequences:
+        held.append(s)
+        size += len(s) // 2
+        if size >= most:
+            yield examples_of(held, before)
+            held, size = [], 0
+    if held:
+        yield examples_of(held, before)
 
 
-def train(examples: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """A start from a bounded draw, refined on all examples by trainers whose parameters are averaged."""
+def train(sequences: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
+    """A start from a bounded draw, refined on every token by trainers whose parameters are averaged."""
     model = LogBilinear(vocabulary.class_tokens)
-    total = examples.count()
+    total, before = sequences.count(), len(vocabulary.class_tokens)
     if not total:
         return model
     share = min(1.0, START_EXAMPLES / (POSITIONS * total))
-    start = [bytes(r["examples"]) for r in examples.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).collect()]
+    start = []
+    for r in sequences.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).toLocalIterator():
+        own = examples_of([bytes(r["classes"])], before)
+        start.append(own[np.unique(((np.arange(POSITIONS) + 0.5) / POSITIONS * len(own)).astype(int))])
     if start:
-        model.fit(_examples(sorted(start)), epochs=3)
+        model.fit(np.concatenate(sorted(start, key=lambda x: x.tobytes())), epochs=3)
     frequencies, flat = vocabulary.class_tokens, model.flat()
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, n = LogBilinear(frequencies).load(flat), 0
-        for pdf in batches:
-            rows = _examples(sorted(pdf["examples"]))
+        for rows in blocks_of((s for pdf in batches for s in sorted(pdf["classes"])), before):
             own.fit(rows, rate=0.03)
             n += len(rows)
         if n:
             yield pd.DataFrame({"n": [n], "parameters": [own.flat().tobytes()]})
 
-    trainers = min(TRAINERS, int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = examples.repartition(trainers).mapInPandas(refine, "n long, parameters binary").collect()
+    trainers = min(TRAINERS, int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = sequences.repartition(trainers).mapInPandas(refine, "n long, parameters binary").collect()
     if found:
         weights = np.array([r["n"] for r in found], dtype=np.float64)
         model.load(np.average([np.frombuffer(r["parameters"], np.float32) for r in found], axis=0, weights=weights))
@@ -325,7 +357,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counts = stored(count_words(training), "lm-counts")
     vocabulary = Vocabulary(counts)
     shared = spark.sparkContext.broadcast(_portable(vocabulary))
-    model = train(stored(draw_examples(training, shared), "lm-examples"), vocabulary)
+    model = train(stored(class_sequences(training, shared), "lm-classes"), vocabulary)
     both = spark.sparkContext.broadcast((_portable(vocabulary), model))
     scored = stored(score_frequent(rows, both), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("tf"))

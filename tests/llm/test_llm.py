@@ -281,6 +281,22 @@ def test_lm_counts(docs, none):
     assert lm_scoring.score(none, held).count() == 0
 
 
+def test_lm_learns_from_every_token(spark):
+    """Each token of each training document is one example with its history, in blocks of any size."""
+    texts = ["a b c a b", None, "", " ".join(f"w{i % 300}" for i in range(900)), "a"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.count_words(table), frequent=50)
+    shared = spark.sparkContext.broadcast(lm_scoring._portable(vocabulary))
+    index, before, want = vocabulary.index(), len(vocabulary.class_tokens), Counter()
+    for t in texts:
+        own = [vocabulary.class_of(w, index) for w in lm_scoring.words_of(t)]
+        want.update((*(own[i - k] if i >= k else before for k in range(1, lm_scoring.HISTORY + 1)), own[i]) for i in range(len(own)))
+    sequences = [bytes(r.classes) for r in lm_scoring.class_sequences(table, shared).collect()]
+    for most in (1, 7, 10**6):
+        assert Counter(tuple(x) for block in lm_scoring.blocks_of(iter(sequences), before, most) for x in block.tolist()) == want
+    assert sum(want.values()) == 5 + 900 + 1 + len(texts)
+
+
 def test_lm_is_normalised():
     model = lm_scoring.LogBilinear(np.arange(1, 21, dtype=float))
     rng = np.random.default_rng(0)

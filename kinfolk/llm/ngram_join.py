@@ -3,7 +3,8 @@
 Search inside a neighbourhood is T-occurrence search by DivideSkip: a set needs T shared shingles
 with another; its L longest inverted lists are put aside, the short ones are merged with a heap, and
 a document that occurs often enough in them is probed in the long lists by binary search until it
-reaches T or can't any more. Members that already share a component are skipped on the lists.
+reaches T or can't any more. For components only, members that already share one are skipped on the lists;
+for the number of links every linked pair is found.
 
 Neighbourhoods make that distributed without losing a link:
 
@@ -26,7 +27,8 @@ Defined results
 * Words are runs without ASCII white space, A-Z lower-cased. With fewer words than a shingle has, the whole
   sequence is the one shingle; without words (or null text) the set is empty and linked with nothing.
 * A null doc_id links nothing; its component is null. Rows that share a doc_id are rows of their own.
-* Empty table: no rows. Extra columns are ignored by ``jaccard_components`` and carried by ``keep_first``.
+* A row's links are the other rows with an id whose sets are linked with its own, equal sets included.
+* Empty table: no rows. Extra columns are ignored by ``jaccard_components`` and ``jaccard_links`` and carried by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -287,6 +289,20 @@ def linked_forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None
     return out
 
 
+def linked_pairs(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Every linked pair once; with ``side``, of pairs from different sides only."""
+    if len(sets) < 2 or side is not None and (side == side[0]).all():
+        return []
+    index, apart, out = InvertedLists(sets), np.arange(len(sets)), []
+    order = np.argsort(index.sizes, kind="stable")
+    rank = np.empty(len(sets), np.int64)
+    rank[order] = np.arange(len(sets))
+    for query in order:
+        allowed = lambda docs, own=query: (rank[docs] > rank[own]) & (True if side is None else side[docs] != side[own])
+        out += [(int(query), doc) for doc in divide_skip(index, int(query), percent, apart, allowed)]
+    return out
+
+
 # --- Spark -------------------------------------------------------------------------------------
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -423,7 +439,7 @@ def _possible_links(percent: int):
     return run
 
 
-def _search(words: int, percent: int):
+def _search(words: int, percent: int, search=linked_forest):
     """Links inside each unit: rows (unit columns, block, node, text), sorted by unit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -431,7 +447,7 @@ def _search(words: int, percent: int):
 
         def close() -> pd.DataFrame:
             side = np.array([m[0] for m in members]) if now and now[1] != now[2] else None
-            edges = linked_forest([m[2] for m in members], percent, side)
+            edges = search([m[2] for m in members], percent, side)
             return pd.DataFrame({"a": [members[i][1] for i, _ in edges], "b": [members[j][1] for _, j in edges]})
 
         for pdf in batches:
@@ -451,6 +467,22 @@ def _search(words: int, percent: int):
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    return _components(docs, words, percent, id_col, text_col)[0]
+
+
+def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, n_links (other rows linked with it)."""
+    return _components(docs, words, percent, id_col, text_col, linked_pairs)[0]
+
+
+def jaccard_pairs(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every linked pair of different sets once, each set by the smallest id of its rows: a_id < b_id (or equal where rows share an id)."""
+    return _components(docs, words, percent, id_col, text_col, linked_pairs)[1]
+
+
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, search=linked_forest) -> tuple[DataFrame, DataFrame | None]:
+    """The rows and, where ``search`` finds every pair, the pairs; the rows then have n_links, too."""
+    every = search is linked_pairs
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     sets = stored(_sets(rows, words, percent), "ngram-sets")
@@ -478,15 +510,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     links = (
         texts.join(units, "doc_id").select("root", "first", "second", "block", "node", "text")
         .repartition("root", "first", "second").sortWithinPartitions("root", "first", "second", "node")
-        .mapInPandas(_search(words, percent), "a binary, b binary")
+        .mapInPandas(_search(words, percent, search), "a binary, b binary")
     )
+    if every:
+        links = stored(links, "ngram-links")
     linked = connected_components(links)
 
     merged = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     component = stored(merged.join(roots, "root").select("node", "component_id"), "ngram-components")
     alone = sets.where(F.col("doc_id").isNull() | F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return nodes.select("doc_id", "n", "node").join(component.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    if not every:
+        return nodes.select("doc_id", "n", "node").join(component.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone), None
+    copies = stored(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "ngram-copies")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    counted = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")).join(component.hint("merge"), "node")
+    rows = nodes.select("doc_id", "n", "node").join(counted.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    a, b = (copies.select(F.col("node").alias(c), F.col("least").alias(f"{c}_least")) for c in "ab")
+    pairs = links.join(a, "a").join(b, "b").select(F.least("a_least", "b_least").alias("a_id"), F.greatest("a_least", "b_least").alias("b_id"))
+    return rows.unionByName(alone.withColumn("n_links", F.lit(0).cast("long"))), pairs
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

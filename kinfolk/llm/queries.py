@@ -72,9 +72,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinfolk.llm.ngram_join import jaccard_components
+    from kinfolk.llm.ngram_join import jaccard_links
 
-    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+    return jaccard_links(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,34 @@ def test_ngram_components(docs, words, percent):
     assert got == brute_components([r[:2] for r in text_rows()], words, percent)
 
 
+@pytest.mark.parametrize("block_docs", [1024, 3])
+def test_ngram_links(spark, none, block_docs, monkeypatch):
+    """Every linked pair and each row's number of links equal an all-pairs search, also across blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block_docs)
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(6):
+            own = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 3)):
+                own[at] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(own))
+    texts += texts[:3] + [texts[0], "", None, "alone in the world"]
+    rows = list(enumerate(texts)) + [(None, texts[0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(i, frozenset(zip(*((t or "").split()[k:] for k in range(3))))) for i, t in rows]
+    linked = lambda s, t: bool(s and t) and 100 * len(s & t) >= 80 * len(s | t)
+    n_links = {i: sum(i != j and j is not None and linked(s, t) for j, t in sets) for i, s in sets if i is not None} | {None: 0}
+    got = ngram_join.jaccard_links(table, 3, 80).collect()
+    assert {r.doc_id: r.n_links for r in got} == n_links and len(got) == len(rows)
+    least = {s: min(i for i, t in sets if s == t and i is not None) for i, s in sets if i is not None}
+    pairs = {(min(a, b), max(a, b)) for s, a in least.items() for t, b in least.items() if s != t and linked(s, t)}
+    found = [tuple(r) for r in ngram_join.jaccard_pairs(table, 3, 80).collect()]
+    assert len(found) == len(set(found)) and set(found) == pairs
+    assert len(pairs) > len(least) and ngram_join.jaccard_links(none).count() == 0
+
+
 def test_ngram_empty_and_keep(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
     kept = ngram_join.keep_first(docs)

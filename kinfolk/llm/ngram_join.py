@@ -4,7 +4,8 @@ Search inside a neighbourhood is T-occurrence search by DivideSkip: a set needs
 with another; its L longest inverted lists are put aside, the short ones are merged with a heap, and
 a document that occurs often enough in them is probed in the long lists by binary search until it
 reaches T or can't any more. For components only, members that already share one are skipped on the lists;
-for the number of links every linked pair is found.
+for the number of links every linked pair is found, and counted where it is found: a unit of work returns a spanning
+forest and each set's number of linked rows, so a group of many near copies gives rows in proportion to its members.
 
 Neighbourhoods make that distributed without losing a link:
 
@@ -57,7 +58,7 @@ CLASS_GROWTH = 1.6
 #: may have half the elements of the largest: with four bits or more left, unrelated sets differ in twice the bound.
 BITS_APART = 8
 #: A unit of work holds two blocks of at most so many shingles and documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 256
 #: Members of a key group that are compared by bitmaps; a larger group, and a piece of one, joins as a whole (more work, same links).
 GROUP_MEMBERS = 100_000
 #: Representatives' ids are broadcast up to this many rows, else joined by shuffling.
@@ -439,26 +440,57 @@ def _possible_links(percent: int):
     return run
 
 
-def _search(words: int, percent: int, search=linked_forest):
-    """Links inside each unit: rows (unit columns, block, node, text), sorted by unit."""
+def forest_of(edges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the edges."""
+    parent, out = list(range(n)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in edges:
+        a, b = root(i), root(j)
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+LINKS = "a binary, b binary, others long"
+
+
+def _search(words: int, percent: int, mode: str = "forest"):
+    """Links inside each unit: rows (unit columns, block, node, copies, text), sorted by unit.
+
+    Modes: a spanning ``forest``; every one of the ``pairs``; or ``counts``, a forest and for each linked set a row without
+    b that tells how many rows of other sets (``others``) it is linked with.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, now, members = Shingler(words), None, []
 
         def close() -> pd.DataFrame:
             side = np.array([m[0] for m in members]) if now and now[1] != now[2] else None
-            edges = search([m[2] for m in members], percent, side)
-            return pd.DataFrame({"a": [members[i][1] for i, _ in edges], "b": [members[j][1] for _, j in edges]})
+            edges = (linked_forest if mode == "forest" else linked_pairs)([m[3] for m in members], percent, side)
+            rows: list[tuple] = []
+            if mode == "counts" and edges:
+                i, j = np.array(edges).T
+                copies = np.array([m[2] for m in members], np.int64)
+                others = np.bincount(i, copies[j], len(members)) + np.bincount(j, copies[i], len(members))
+                rows = [(members[k][1], None, int(others[k])) for k in np.flatnonzero(others)]
+                edges = forest_of(edges, len(members))
+            return pd.DataFrame(rows + [(members[i][1], members[j][1], 0) for i, j in edges], columns=["a", "b", "others"])
 
         for pdf in batches:
-            for root, first, second, block, node, text in pdf.itertuples(index=False, name=None):
+            for root, first, second, block, node, copies, text in pdf.itertuples(index=False, name=None):
                 if (root, first, second) != now:
                     if len(members) > 1:
                         yield close()
                     now, members = (root, first, second), []
                 s, node = shingle(text), bytes(node)
                 if node_of(s) == node:  # else another row with the same id
-                    members.append((block, node, s))
+                    members.append((block, node, copies, s))
         if len(members) > 1:
             yield close()
 
@@ -472,17 +504,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
 def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links (other rows linked with it)."""
-    return _components(docs, words, percent, id_col, text_col, linked_pairs)[0]
+    return _components(docs, words, percent, id_col, text_col, "counts")[0]
 
 
 def jaccard_pairs(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every linked pair of different sets once, each set by the smallest id of its rows: a_id < b_id (or equal where rows share an id)."""
-    return _components(docs, words, percent, id_col, text_col, linked_pairs)[1]
+    return _components(docs, words, percent, id_col, text_col, "pairs")[1]
 
 
-def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, search=linked_forest) -> tuple[DataFrame, DataFrame | None]:
-    """The rows and, where ``search`` finds every pair, the pairs; the rows then have n_links, too."""
-    every = search is linked_pairs
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, mode: str = "forest") -> tuple[DataFrame, DataFrame | None]:
+    """The rows, with n_links in the mode ``counts``; and in the mode ``pairs`` the pairs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     sets = stored(_sets(rows, words, percent), "ngram-sets")
@@ -499,37 +530,39 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     near = stored(connected_components(possible), "ngram-near")
     near = near.select(F.col("a").alias("nid"), F.col("b").alias("root")).unionByName(near.select(F.col("b").alias("nid"), F.col("b").alias("root")).distinct())
 
-    members = stored(nodes.join(near, "nid").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("root").alias("root")), "ngram-members")
+    members = stored(nodes.join(near, "nid").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("root").alias("root"), F.count(F.lit(1)).alias("copies")), "ngram-members")
     blocks = members.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
     placed = members.join(blocks, "root").where(F.col("root").isNotNull()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = placed.select("doc_id", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("doc_id", "node", "root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block")
+    units = placed.select("doc_id", "node", "copies", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("doc_id", "node", "copies", "root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block")
     small = members.count() <= BROADCAST_ROWS
     wanted = F.broadcast(placed.select("doc_id").distinct()) if small else placed.select("doc_id").distinct()
     texts = known.join(wanted, "doc_id", "left_semi")
-    links = (
-        texts.join(units, "doc_id").select("root", "first", "second", "block", "node", "text")
+    found = (
+        texts.join(units, "doc_id").select("root", "first", "second", "block", "node", "copies", "text")
         .repartition("root", "first", "second").sortWithinPartitions("root", "first", "second", "node")
-        .mapInPandas(_search(words, percent, search), "a binary, b binary")
+        .mapInPandas(_search(words, percent, mode), LINKS)
     )
-    if every:
-        links = stored(links, "ngram-links")
+    if mode != "forest":
+        found = stored(found, "ngram-links")
+    links = found.where(F.col("b").isNotNull()).select("a", "b")
+    if mode == "pairs":
+        least = stored(nodes.groupBy("node").agg(F.min("doc_id").alias("least")), "ngram-least")
+        a, b = (least.select(F.col("node").alias(c), F.col("least").alias(f"{c}_least")) for c in "ab")
+        return sets, links.join(a, "a").join(b, "b").select(F.least("a_least", "b_least").alias("a_id"), F.greatest("a_least", "b_least").alias("b_id"))
     linked = connected_components(links)
 
     merged = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     component = stored(merged.join(roots, "root").select("node", "component_id"), "ngram-components")
     alone = sets.where(F.col("doc_id").isNull() | F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    if not every:
+    if mode == "forest":
         return nodes.select("doc_id", "n", "node").join(component.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone), None
-    copies = stored(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "ngram-copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    others = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+    copies = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
     counted = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")).join(component.hint("merge"), "node")
     rows = nodes.select("doc_id", "n", "node").join(counted.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    a, b = (copies.select(F.col("node").alias(c), F.col("least").alias(f"{c}_least")) for c in "ab")
-    pairs = links.join(a, "a").join(b, "b").select(F.least("a_least", "b_least").alias("a_id"), F.greatest("a_least", "b_least").alias("b_id"))
-    return rows.unionByName(alone.withColumn("n_links", F.lit(0).cast("long"))), pairs
+    return rows.unionByName(alone.withColumn("n_links", F.lit(0).cast("long"))), None
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC archives: written with one gzip member per record, read back sequentially.
 
-The writer deals rows to tasks by payload digest only for the decision which record is the
-response; each task then appends its records to an archive of its own in the shared folder. File
+Which record is the response is decided on digests and row numbers alone; html meets the decision
+by row number, a key that no two rows share. Each task then appends its records to an archive of its own in the shared folder. File
 names carry the task attempt, and only the archives of attempts that Spark commits appear in the
 manifest, so a lost executor leaves at most an orphan file. The reader inflates one member at a
 time in fixed chunks, takes the block by Content-Length, and verifies both digests; memory is one
@@ -24,7 +24,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,28 +124,29 @@ def page_records(page_id, row, url, html, response, response_row, date: str) ->
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Each page with the row of its response: page_id, url, html, row, response_id, response_row."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.monotonically_increasing_id().alias("row"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("n_bytes"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.monotonically_increasing_id().alias("row"))
+    digests = stored(rows.select("page_id", "row", F.sha1(html).alias("sha1"), (F.octet_length(html) < min_bytes).alias("own")), "warc-digests")
     top = F.max(F.struct("page_id", (-F.col("row")).alias("r"))).alias("top")
-    tops = stored(rows.groupBy("sha1").agg(top).select("sha1", F.col("top.page_id").alias("response_id"), (-F.col("top.r")).alias("response_row")), "warc-responses")
-    own = F.col("n_bytes") < min_bytes
-    return rows.join(tops.hint("merge"), "sha1").select(
-        "page_id", "url", "html", "row",
-        F.when(own, F.col("page_id")).otherwise(F.col("response_id")).alias("response_id"),
-        F.when(own, F.col("row")).otherwise(F.col("response_row")).alias("response_row"),
+    tops = digests.groupBy("sha1").agg(top).select("sha1", F.col("top.page_id").alias("response_id"), (-F.col("top.r")).alias("response_row"))
+    decided = digests.join(tops.hint("merge"), "sha1").select(
+        "row",
+        F.when(F.col("own"), F.col("page_id")).otherwise(F.col("response_id")).alias("response_id"),
+        F.when(F.col("own"), F.col("row")).otherwise(F.col("response_row")).alias("response_row"),
     )
+    return rows.join(decided.hint("merge"), "row").select("page_id", "url", "html", "row", "response_id", "response_row")
 
 
 def write_archives(planned: DataFrame, folder: str, level: int = 4, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write one archive or more per task; return the stored manifest (path, n_records)."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         task, out, path, count, size, done = TaskContext.get(), None, "", 0, 0, []
-        for pdf in batches:
-            for page_id, url, html, row, response, response_row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+        for batch in batches:
+            for page_id, url, html, row, response, response_row in zip(*((x.as_py() for x in column) for column in batch.columns)):
                 if out is None:
                     path = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
                     out = files.open_output_stream(path, compression=None)
@@ -160,14 +161,15 @@ def write_archives(planned: DataFrame, folder: str, level: int = 4, date: str =
         if out is not None:
             out.close()
             done.append((path, count))
-        yield pd.DataFrame({"path": [p for p, _ in done], "n_records": pd.Series([n for _, n in done], dtype="int64")})
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "n_records"])
 
-    return stored(planned.select("page_id", "url", "html", "row", "response_id", "response_row").mapInPandas(write, "path string, n_records long"), "warc-manifest")
+    return stored(planned.select("page_id", "url", "html", "row", "response_id", "response_row").mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
 
 # --- reading -----------------------------------------------------------------------------------
 
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+_RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
 
 def _urn_page(urn: str | None):
@@ -178,13 +180,12 @@ def _urn_page(urn: str | None):
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The page records of all archives in the manifest, digests verified."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, _ = fs.FileSystem.from_uri(folder)
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        for pdf in batches:
-            for path in pdf["path"]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with files.open_input_stream(path, compression=None) as stream:
                     for fields, block in read_records(stream):
@@ -193,22 +194,19 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
                         head, _, payload = block.partition(b"\r\n\r\n")
                         size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                         rows.append((_urn_page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], payload if with_payload else None, size, fields["warc-payload-digest"].removeprefix("sha1:"), _urn_page(fields.get("warc-refers-to"))))
-                        held += len(payload) + 200
+                        held += (len(payload) if with_payload else 0) + 300
                         if held > 16 << 20:
-                            yield _frame(rows, names)
+                            yield _batch(rows)
                             rows, held = [], 0
                 if rows:
-                    yield _frame(rows, names)
+                    yield _batch(rows)
 
     parts = max(2, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("path").repartition(parts, "path").mapInPandas(read, RECORD)
+    return manifest.select("path").repartition(parts, "path").mapInArrow(read, RECORD)
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    for k in ("page_id", "payload_bytes", "refers_to"):
-        out[k] = pd.array([None if pd.isna(x) else int(x) for x in (r[names.index(k)] for r in rows)], dtype="Int64")
-    return out
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RECORD)], schema=_RECORD)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, with_payload: bool = False) -> DataFrame:

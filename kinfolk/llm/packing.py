@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,13 +43,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 # --- tokens ------------------------------------------------------------------------------------
 
+@lru_cache(maxsize=4)
 def byte_bpe(vocab_json: str, ranks_file: str, pattern: str, cache_size: int = 400_000) -> Callable[[str], np.ndarray]:
     """A function text -> ids, equal to the tokenizers file's without special tokens added.
 
     A piece of byte-level BPE never extends over the boundary before a single space, unless white
     space stands on both of its sides. So texts are cut at spaces, and the ids of ' word' are kept;
-    texts with runs of white space are tokenised whole, and those that contain a special token's
-    string go to the tokenizers library itself.
+    a text's words that aren't known yet go through in one call and are cut where a token begins with the space.
+    Texts with runs of white space are tokenised whole, and those that contain a special token's
+    string go to the tokenizers library itself. A worker keeps the function, and its words, from task to task.
     """
     import base64
 
@@ -60,25 +63,31 @@ def byte_bpe(vocab_json: str, ranks_file: str, pattern: str, cache_size: int = 4
     fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     exact = Tokenizer.from_file(vocab_json)
     special = [t.content for t in exact.get_added_tokens_decoder().values()]
-    kept: dict[str, bytes | None] = {}
+    spaced = np.zeros(max(ranks.values()) + 1, bool)
+    spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+    kept: dict[str, bytes] = {}
 
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype=np.uint16).tobytes()
 
-    def learn(word: str) -> bytes | None:
-        """None where the word can't be tokenised by itself."""
-        if not word or word[0].isspace() or word[-1].isspace() or any(s in word for s in special):
+    def learned(words: list[str]) -> dict[str, bytes] | None:
+        """Ids of words; None where one of them can't be tokenised by itself."""
+        joined = " ".join(words)
+        if any(not w or w != w.strip() for w in words) or any(s in joined for s in special):
             return None
-        ids = packed(fast.encode_ordinary(" " + word))
+        ids = np.array(fast.encode_ordinary(" " + joined), dtype=np.uint16)
+        at = (2 * np.flatnonzero(spaced[ids])).tolist()
+        data = ids.tobytes()
+        found = dict(zip(words, (data[i:j] for i, j in zip(at, [*at[1:], len(data)]))))
         if len(kept) < cache_size:
-            kept[word] = ids
-        return ids
+            kept.update(found)
+        return found
 
     def encode(text: str) -> np.ndarray:
         first, *words = text.split(" ")
         parts = list(map(kept.get, words))
-        if None in parts:
-            parts = [learn(w) if p is None else p for w, p in zip(words, parts)]
+        if None in parts and (new := learned(list(dict.fromkeys(w for w, p in zip(words, parts) if p is None)))):
+            parts = [new[w] if p is None else p for w, p in zip(words, parts)]
         if None in parts or first[-1:].isspace() or any(s in first for s in special):
             whole = exact.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
             return np.array(whole, dtype=np.uint16)

@@ -90,16 +90,12 @@ def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    from kinfolk.llm.images import classes, find_copies, pictures
-    from kinfolk.llm.storage import stored
+    from kinfolk.llm.images import find_copies, pictures
 
     vectors = _table(spark, sf_dir, "embeddings")
-    images = stored(pictures(vectors), "images")
-    members = stored(classes(images), "image-classes")
-    own = members.where(F.col("image_id") == F.col("class_id")).select("image_id").distinct()
-    index = images.join(own, "image_id", "left_semi")
-    found = find_copies(pictures(vectors.where(F.col("vec_id") % 20 == 0), edit=True), index)
-    rows = found.select(F.lit("link").alias("kind"), "query_id", F.col("image_id").alias("class_id"), F.lit(None).cast("long").alias("image_id"), "n_matches", "shift_y", "shift_x")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("n_matches", "long"), ("shift_y", "int"), ("shift_x", "int"))]
-    member = members.select(F.lit("member").alias("kind"), F.lit(None).cast("long").alias("query_id"), "class_id", "image_id", *none)
+    links, members = find_copies(pictures(vectors.where(F.col("vec_id") % 20 == 0), edit=True), pictures(vectors))
+    found = ["n_matches", "shift_y", "shift_x", "scale", "turn"]
+    kinds = dict(links.dtypes)
+    rows = links.select(F.lit("link").alias("kind"), "query_id", "class_id", F.lit(None).cast("long").alias("image_id"), *found)
+    member = members.select(F.lit("member").alias("kind"), F.lit(None).cast("long").alias("query_id"), "class_id", "image_id", *(F.lit(None).cast(kinds[c]).alias(c) for c in found))
     return rows.unionByName(member)

@@ -7,8 +7,8 @@ probabilities are the windows' means, weighted by their bytes.
 For prediction the embeddings and filters collapse into tables over byte pairs, so a position costs
 five look-ups; all windows of a block advance one byte at a time, in cache.
 
-Training draws ``train_docs`` labelled rows in expectation (a documented bound; by a hash of id and
-position) and up to ``train_windows`` windows of each, evenly spaced. Prediction reads whole texts.
+Training draws ``train_docs`` labelled rows in expectation (a documented bound; by a hash of id and position) and,
+of all windows of their whole texts alike, ``train_windows`` in expectation. Prediction reads whole texts.
 
 Defined results
 ---------------
@@ -19,17 +19,23 @@ Defined results
 
 from __future__ import annotations
 
-import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of one of Unicode's letter categories occurs: fractions, superscripts and numerals are none."""
+    return any(c.isalpha() and unicodedata.category(c)[0] == "L" for c in text)
 
 
 # --- the network -------------------------------------------------------------------------------
@@ -146,7 +152,7 @@ def id_crc(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def train(labelled: DataFrame, train_docs: int = 3000, train_windows: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
+def train(labelled: DataFrame, train_docs: int = 3000, train_windows: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
     """Fit the network on a bounded sample of rows with non-null text and language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = rows.count()
@@ -160,11 +166,13 @@ def train(labelled: DataFrame, train_docs: int = 3000, train_windows: int = 8, i
             out = []
             for text, lang in zip(pdf["text"], pdf["lang"]):
                 data = text.encode()
-                n = -(-len(data) // LENGTH)
-                for i in np.unique(np.linspace(0, n - 1, min(n, train_windows)).astype(int)) if n else ():
+                lots = np.random.default_rng(zlib.crc32(data)).random(-(-len(data) // LENGTH))
+                for i in np.flatnonzero(lots < part).tolist():
                     out.append((data[i * LENGTH : (i + 1) * LENGTH].ljust(LENGTH, b"\0"), lang))
             yield pd.DataFrame(out, columns=["window", "lang"])
 
+    windows = drawn.agg(F.sum(F.ceil(F.octet_length(F.col(text_col)) / LENGTH))).first()[0]
+    part = train_windows / max(windows or 0, train_windows)
     got = drawn.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInPandas(cut, "window binary, lang string").toPandas()
     if got.empty:
         return None
@@ -176,7 +184,7 @@ def train(labelled: DataFrame, train_docs: int = 3000, train_windows: int = 8, i
 
 def score_texts(model: ByteCNN | None, predict, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+    known = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
     if known:
         windows, own, weights = windows_of([texts[i].encode() for i in known])
         p = predict(windows) * weights[:, None]
@@ -188,13 +196,13 @@ def score_texts(model: ByteCNN | None, predict, texts: list[str | None]) -> tupl
 
 
 def _predict_with(model: ByteCNN | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model.predictor() if model else None
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                langs, scores = score_texts(model, predict, list(part["text"]))
-                yield part.drop(columns="text").assign(lang_pred=langs, score=scores)
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                langs, scores = score_texts(model, predict, part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -202,7 +210,7 @@ def _predict_with(model: ByteCNN | None):
 def predict(docs: DataFrame, model: ByteCNN | None, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_predict_with(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict_with(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:

@@ -1,12 +1,15 @@
 """Tables that cut lineage: written to the shared folder the cluster names, then read again.
 
 ``spark.checkpoint.dir`` names the folder that driver and executors share. It is read from the
-session; only where it is unset (tests, notebooks) a local folder is used instead. A written table
+session; only where it is unset and the master is local (tests, notebooks) a local folder is used instead, which goes
+when the process ends. On a cluster without the setting ``RuntimeError`` is raised: executors would scatter their files. A written table
 survives the loss of executors, which cached blocks and local checkpoints do not.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="kinfolk-")
+        folder = tempfile.mkdtemp(prefix="kinfolk-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _FALLBACK[app] = "file://" + folder
     return _FALLBACK[app]
 
 

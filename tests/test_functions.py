@@ -12,7 +12,7 @@ def one(spark, **columns):
 
 @pytest.mark.parametrize("token, skeleton", [("industries", "intstrs"), ("imdastris", "intstrs"), ("kheti", "kt"), ("yyz", "is"), ("221", "221"), ("", "")])
 def test_skeleton(spark, token, skeleton):
-    assert one(spark, t=token).select(text.skeleton(F.col("t"))).first()[0] == skeleton == normalise.skeleton_of(token)
+    assert one(spark, t=token).select(text.skeleton(F.col("t"))).first()[0] == skeleton
 
 
 @pytest.mark.parametrize("raw, expected", [

@@ -110,7 +110,11 @@ class LogBilinear:
                 true = (guess * wanted).sum(1) + self.bias[y] - log_noise[y]
                 false = guess @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn]
                 up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - P(from the data)
-                down = -times.astype(np.float32) / (1 + np.exp(-np.clip(false, -30, 30)))
+                np.negative(false, out=false)
+                with np.errstate(over="ignore"):
+                    np.exp(false, out=false)
+                false += 1
+                down = np.divide(-times.astype(np.float32), false, out=false)
                 d_guess = up[:, None] * wanted + down @ self.target[drawn]
                 d_target, d_bias = summed(y, up[:, None] * guess, n), np.bincount(y, up, n).astype(np.float32)
                 d_target[drawn] += down.T @ guess
@@ -123,11 +127,14 @@ class LogBilinear:
                     p += rate * g / np.sqrt(s)
         return self
 
-    def log_probabilities(self, history: np.ndarray, target: np.ndarray, block: int = 4096) -> np.ndarray:
+    def log_probabilities(self, history: np.ndarray, target: np.ndarray, block: int = 1024) -> np.ndarray:
         """Natural logarithm of the softmax at each target."""
         scaled = [self.history * self.position[i] for i in range(HISTORY)]
         out = np.empty(len(target), np.float64)
         weights = np.ascontiguousarray(self.target.T)
+        # No logit exceeds this bound, so where it is far from float32's the maximum needn't be taken away.
+        bound = sum(np.linalg.norm(s, axis=1).max() for s in scaled) * np.linalg.norm(weights, axis=0).max() + np.abs(self.bias).max()
+        ones = np.ones(len(self.bias), np.float32)
         for at in range(0, len(target), block):
             h, y = history[at : at + block], target[at : at + block]
             guess = scaled[0][h[:, 0]]
@@ -136,10 +143,12 @@ class LogBilinear:
             logits = guess @ weights
             logits += self.bias
             chosen = logits[np.arange(len(y)), y]
-            top = logits.max(1)
-            logits -= top[:, None]
+            if bound > 60:
+                top = logits.max(1)
+                logits -= top[:, None]
+                chosen = chosen - top
             np.exp(logits, out=logits)
-            out[at : at + block] = chosen - top - np.log(logits.sum(1))
+            out[at : at + block] = chosen - np.log(logits @ ones)
         return out
 
 

@@ -21,6 +21,12 @@ NAME_CANON = {
     "etablissement": "ets", "saint": "st", "sainte": "ste", "llc": "llc", "llp": "llp", "plc": "plc", "lp": "lp", "pc": "pc",
 }
 
+#: Legal forms as the audit of true pairs counts them; fixed values.
+TAG_LEGAL_WORDS = (
+    "inc", "llc", "ltd", "limited", "private", "pvt", "corp", "corporation", "co", "company", "incorporated", "plc", "llp", "sarl", "sas", "sasu",
+    "eurl", "sci", "sa", "cie", "freres", "fils", "pc", "pllc",
+)
+
 #: Legal forms, which the core of a name leaves out.
 LEGAL_WORDS = (
     "inc", "corp", "ltd", "pvt", "co", "llc", "lp", "llp", "pc", "plc", "pllc", "lllp", "public", "the", "opc", "huf", "pty",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.functions.similarity import capped_levenshtein, jaccard
-from kinfolk.functions.vocabulary import LEGAL_WORDS
+from kinfolk.functions.vocabulary import TAG_LEGAL_WORDS
 from kinfolk.operators.decide import BETA2, f05
 from kinfolk.operators.windows import by, running_sum
 
@@ -147,7 +147,7 @@ def name_tags(raw1: Column, raw2: Column, plain1: Column, plain2: Column) -> Col
     """What was done to a name. raw: as given; plain: without marks, lower case."""
     t1, t2 = ascii_tokens(plain1), ascii_tokens(plain2)
     s1, s2 = F.array_distinct(t1), F.array_distinct(t2)
-    legal = F.array(*map(F.lit, LEGAL_WORDS))
+    legal = F.array(*map(F.lit, TAG_LEGAL_WORDS))
     c1, c2 = _minus(s1, legal), _minus(s2, legal)
     l1, l2 = F.array_intersect(s1, legal), F.array_intersect(s2, legal)
     none = lambda a: F.size(a) == 0

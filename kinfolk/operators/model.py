@@ -6,10 +6,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfolk.functions.text import id_fold
+from kinfolk.functions.text import hash_sample, id_fold
 from kinfolk.operators.decide import union_of
 
 MISSING = -1.0
@@ -52,13 +52,41 @@ def calibrate(scored: DataFrame, fit_on) -> DataFrame:
     return model.transform(vectors).withColumn("p_calibrated", clipped).drop("__v", "prediction")
 
 
+def _largest(rows: DataFrame, value: Column, n: int, *ties: Column, steps: int = 1000) -> DataFrame:
+    """The ``n`` rows of the largest values. A histogram finds the bin that the cut falls into; only that bin is ordered."""
+    binned = rows.withColumn("__v", value).withColumn("__bin", F.floor(F.col("__v") * steps))
+    above, cut, rest = 0, None, 0
+    for r in sorted(binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("size")).collect(), key=lambda r: -r["__bin"]):  # a score's range times ``steps`` at most
+        if above + r["size"] > n:
+            cut, rest = r["__bin"], n - above
+            break
+        above += r["size"]
+    if cut is None:
+        return rows
+    tied = binned.where(F.col("__bin") == cut).orderBy(F.col("__v").desc(), *ties).limit(rest)
+    return binned.where(F.col("__bin") > cut).unionByName(tied).drop("__v", "__bin")
+
+
 def hard_negatives(pairs: DataFrame, most: int) -> DataFrame:
-    """All positives and the hardest negatives up to ``most`` rows in all; hardness: bscore + dcos / 2 - brank / 100."""
-    hard = F.col("bscore") + 0.5 * F.coalesce("dcos", F.lit(0.0)) - 0.01 * F.col("brank")
+    """At most ``most`` rows: the positives (a draw by hash where they alone are more) and the hardest negatives; hardness: bscore + dcos / 2 - brank / 100."""
+    hard = F.coalesce("bscore", F.lit(0.0)) + 0.5 * F.coalesce("dcos", F.lit(0.0)) - 0.01 * F.col("brank")
     positives = pairs.where("y = 1")
-    left = max(0, most - positives.count())
-    negatives = pairs.where("y = 0").withColumn("__h", hard).orderBy(F.col("__h").desc(), "q_id", "i_id").limit(left).drop("__h")
-    return positives.unionByName(negatives)
+    n = positives.count()
+    if n >= most:
+        lot = F.pmod(F.xxhash64("q_id", "i_id"), F.lit(1_000_003)) / 1_000_003
+        return _largest(positives, lot, most, F.col("q_id"), F.col("i_id"), steps=100_000)
+    return positives.unionByName(_largest(pairs.where("y = 0"), hard, most - n, F.col("q_id"), F.col("i_id")))
+
+
+def entity_subsample(queries: DataFrame, index: DataFrame, truth: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """Whole clusters: queries (q_id) by hash, the index rows (i_id) that truth (q_id, i_id) gives to them, and unowned rows at the same rate by another hash."""
+    kept = queries.where(hash_sample(F.col("q_id"), share))
+    owners = truth.groupBy("i_id").agg(F.max("q_id").alias("__owner"))
+    owned = index.join(owners, "i_id", "left")
+    held = kept.select(F.col("q_id").alias("__owner")).distinct()
+    clusters = owned.join(held, "__owner", "left_semi")
+    loose = owned.where(F.col("__owner").isNull() & hash_sample(F.col("i_id"), share, "devx"))
+    return kept, clusters.unionByName(loose).drop("__owner")
 
 
 def check_contract(trained: list[str], given: list[str]) -> None:

@@ -65,8 +65,13 @@ def hash_fold_counts(spark, d):
 
 @query()
 def dev_subsample(spark, d):
-    docs = worlds.documents(spark, d)
-    return docs.where(text.hash_sample(F.col("rec_id"), 0.3)).groupBy("side", "ckey").agg(F.count(F.lit(1)).alias("n"), F.sum("rec_id").alias("ids"))
+    """Whole clusters of equal texts: a text's first asked record owns the indexed ones."""
+    docs = worlds.documents(spark, d).withColumn("h", F.hash("name", "address"))
+    asks, index = docs.where("side = 'q'").withColumnRenamed("rec_id", "q_id"), docs.where("side = 'i'").withColumnRenamed("rec_id", "i_id")
+    truth = index.join(asks.groupBy("h").agg(F.min("q_id").alias("q_id")), "h").select("q_id", "i_id")
+    kept, own = model.entity_subsample(asks, index, truth, 0.3)
+    both = kept.withColumnRenamed("q_id", "rec_id").unionByName(own.withColumnRenamed("i_id", "rec_id"))
+    return both.groupBy("side", "ckey").agg(F.count(F.lit(1)).alias("n"), F.sum("rec_id").alias("ids"))
 
 
 # --- text ----------------------------------------------------------------------------------------

@@ -14,9 +14,13 @@ COLUMNS = ("entity_id", "business_name", "business_address", "country")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, at): lines without byte order mark and line ends, with a position that orders each file."""
-    raw = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
-    return raw.where(F.col("line") != "")
+    """(line, at): lines without byte order mark, line ends and each file's first line, the header; ``at`` orders by file and place."""
+    place = F.struct(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    raw = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), place.alias("at"))
+    # The first line of a file is the least place of the split that begins the file.
+    heads = raw.where("at.block = 0").groupBy("at.file").agg(F.min("at.place").alias("head"))
+    rows = raw.join(F.broadcast(heads.withColumnRenamed("file", "__file")), F.col("at.file") == F.col("__file"))
+    return rows.where((F.col("line") != "") & (F.col("at.place") != F.col("head"))).select("line", "at")
 
 
 def first_of_id(rows: DataFrame, key: str = "entity_id", at: str = "at") -> DataFrame:
@@ -39,7 +43,6 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
     else:
         values = {c: F.get("__c", F.lit(header.index(c))) if c in header else F.lit("") for c in COLUMNS}
     rows = _lines(spark, path).withColumn("__c", cells)
-    rows = rows.where(F.lower(F.trim(F.get("__c", F.lit(header.index("entity_id"))))) != "entity_id")
     rows = rows.select("at", *(F.trim(F.coalesce(v, F.lit(""))).alias(c) for c, v in values.items()))
     return first_of_id(rows).drop("at")
 
@@ -47,10 +50,10 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """(q_id, ids): the last line of a query counts; blanks between commas leave."""
     cells = F.split("line", "\t", -1)
-    rows = _lines(spark, path).where(F.col("at") > 0).select("at", F.trim(F.get(cells, F.lit(0))).alias("q_id"), F.coalesce(F.get(cells, F.lit(1)), F.lit("")).alias("list"))
+    rows = _lines(spark, path).select("at", F.trim(F.get(cells, F.lit(0))).alias("q_id"), F.coalesce(F.get(cells, F.lit(1)), F.lit("")).alias("list"))
     last = W.partitionBy("q_id").orderBy(F.col("at").desc())
     rows = rows.withColumn("__n", F.row_number().over(last)).where(F.col("__n") == 1)
-    return rows.select("q_id", F.filter(F.transform(F.split("list", ","), F.trim), lambda x: x != "").alias("ids"))
+    return rows.select("q_id", F.filter(F.transform(F.split("list", ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"))
 
 
 def truth_pairs(truth: DataFrame) -> DataFrame:

@@ -33,10 +33,13 @@ def test_name_forms(spark, raw, expected):
     ("304, 3Rd Floor, Plot No. 1 Rg Complex, Rohini Sector-8, Delhi", "India", dict(a_full="304 3 1 rg complex rohini sector 8 delhi", a_nums="304 3 1 8", a_alpha="rohini", a_skel="rn", a_state="delhi", a_ncomp=5)),
     ("12 Maple St, New York, NY 10001", "US", dict(a_full="12 maple street ny ny 10001", a_state="ny", a_nums="12 10001", a_alpha="maple")),
     ("n/a", "US", dict(a_empty=True, a_full="")),
+    ("Near City Mall, Pune", "IN", dict(a_core="pune", a_ncomp=2)),
+    ("महाराष्ट्र", "India", dict(a_translit=True, a_empty=False)),
     (None, None, dict(a_empty=True, a_ncomp=0)),
 ])
-def test_address_forms(raw, country, expected):
-    got = dict(zip(normalise.ADDRESS.names, normalise.address_forms(raw, country)))
+def test_address_forms(spark, raw, country, expected):
+    row = spark.createDataFrame([(raw, country)], "business_address string, country string")
+    got = normalise.with_address_forms(row).first().asDict()
     assert {k: got[k] for k in expected} == expected
 
 

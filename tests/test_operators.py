@@ -97,3 +97,52 @@ def test_references_and_contract(spark):
     assert [(r.ref1, r.ref2) for r in rows] == [(2, 3), (1, 3), (1, 2)]
     with pytest.raises(ValueError):
         model.check_contract(["a", "b"], ["b", "a"])
+
+
+def test_entity_subsample_keeps_clusters(spark):
+    import zlib
+
+    asks = [f"S1-{i}" for i in range(300)]
+    truth = [(q, f"S2-{q}-{k}") for i, q in enumerate(asks) for k in range(i % 4)]
+    index = [i for _, i in truth] + [f"S3-{k}" for k in range(200)]
+    one = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    kept, own = model.entity_subsample(one(asks, "q_id"), one(index, "i_id"), spark.createDataFrame(truth, "q_id string, i_id string"), 0.3)
+    wanted = {q for q in asks if zlib.crc32(b"dev" + q.encode()) % 1000 < 300}
+    loose = {i for i in index if i.startswith("S3") and zlib.crc32(b"devx" + i.encode()) % 1000 < 300}
+    assert {r.q_id for r in kept.collect()} == wanted and 0 < len(wanted) < 300 and loose
+    assert sorted(r.i_id for r in own.collect()) == sorted({i for q, i in truth if q in wanted} | loose)
+
+
+def test_hard_negatives_at_the_cap(spark):
+    rows = [(q, i, int(i == 0), float(i % 3), None, i) for q in range(40) for i in range(10)]
+    pairs = spark.createDataFrame(rows, "q_id long, i_id long, y int, bscore double, dcos double, brank int")
+    negatives = sorted((-(b - 0.01 * i), q, i) for q, i, y, b, _, _ in rows if not y)
+    got = model.hard_negatives(pairs, 97)
+    assert sorted((r.q_id, r.i_id) for r in got.where("y = 0").collect()) == sorted((q, i) for _, q, i in negatives[:57]) and got.where("y = 1").count() == 40
+    assert model.hard_negatives(pairs, 25).count() == 25 and model.hard_negatives(pairs, 25).where("y = 0").count() == 0 and model.hard_negatives(pairs, 9999).count() == 400
+
+
+def test_gate_and_masks(spark):
+    """Pairs beyond the gate have no sequence similarity, nor those with an empty side."""
+    columns = [*features.NAME_COLUMNS, *features.ADDRESS_COLUMNS]
+    record = lambda name, address: [name] * len(features.NAME_COLUMNS) + [address] * len(features.ADDRESS_COLUMNS)
+    flags = "n_translit boolean, n_domain boolean, n_alias boolean, a_translit boolean, a_empty boolean, a_ncomp int"
+    schema = ", ".join([f"{s}_{c} string" for s in "qi" for c in columns] + [f"{s}_{f}" for s in "qi" for f in flags.split(", ")] + ["brank int", "bits int"])
+    row = lambda a, b, brank, empty=False: (*record(*a), *record(*b), *([False] * 4 + [False, 1]), *([False] * 4 + [empty, 1]), brank, 1)
+    pairs = spark.createDataFrame([row(("acme", "1"), ("acme", "1"), 0), row(("acme", "1"), ("acme", "1"), 30), row(("", "1"), ("acme", "1"), 1), row(("", "1"), ("", ""), 2, True)], schema)
+    got = {r.brank: r.asDict() for r in features.costly_features(features.address_features(features.name_features(pairs))).collect()}
+    assert all(got[0][c] is not None for c in features.COSTLY) and all(got[30][c] is None for c in features.COSTLY)
+    assert all(got[1][c] is None for c in features.FUZZY_NAME) and got[1]["a_ratio"] is not None and got[1]["n_jacc"] == 0
+    assert got[2]["n_jacc"] is None and got[2]["n_first_eq"] == 1 and got[2]["a_tset"] is None
+
+
+def test_headers_of_several_files(spark, tmp_path):
+    """Each file's first line is a header; a record that reads entity_id stays; the first file's record counts."""
+    for name, lines in {"a.tsv": ["entity_id\tbusiness_name\tbusiness_address\tcountry", "S2-1\tA\tx\tUS", "entity_id\tB\ty\tUS"], "b.tsv": ["entity_id\tbusiness_name\tbusiness_address\tcountry", "S2-1\tC\tz\tUS", "S2-2\tD\tz\tUS"]}.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    got = {r.entity_id: r.business_name for r in records.read_source(spark, str(tmp_path)).collect()}
+    assert got == {"S2-1": "A", "entity_id": "B", "S2-2": "D"}
+    (tmp_path / "truth").mkdir()
+    for k in "ab":
+        (tmp_path / "truth" / f"{k}.tsv").write_text(f"source1_entity_id\tmatched_entity_ids\nS1-{k}\tS2-1, ,S3-2\nS1-x\t{k}\n")
+    assert {r.q_id: r.ids for r in records.read_truth(spark, str(tmp_path / "truth")).collect()} == {"S1-a": ["S2-1", "S3-2"], "S1-b": ["S2-1", "S3-2"], "S1-x": ["b"]}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kinfolk.llm.storage import fresh_path, stored
 
-_DIGEST, _ROW, _STAY = "__xd_digest", "__xd_row", "__xd_stay"
+_ROW = "__xd_row"
 
 
 class DigestIndex:
@@ -110,13 +110,18 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
 def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     index = index or DigestIndex(docs.sparkSession)
+    mark = "__xd"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    row, digest, stay_digest, stay_row = (f"{mark}_{x}" for x in ("row", "digest", "stay_digest", "stay_row"))
     stay = stored(
         ingest(docs, index, id_col, text_col).where(F.col("keep_row").isNotNull()).select(
-            F.col("digest").alias(_DIGEST), F.col("keep_row").alias(_STAY)
+            F.col("digest").alias(stay_digest), F.col("keep_row").alias(stay_row)
         ),
         "digest-stay",
     )
-    rows = docs.withColumn(_ROW, F.monotonically_increasing_id()).withColumn(_DIGEST, digest_of(F.col(text_col)))
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(digest, digest_of(F.col(text_col)))
     # The digest is the join key and the position a filter on top of it: two keys would hash a hot
     # text's rows apart, yet this way the single staying row is found whatever its partition.
-    return rows.join(stay.hint("merge"), (rows[_DIGEST] == stay[_DIGEST]) & (rows[_ROW] == stay[_STAY]), "left_semi").select(*docs.columns)
+    kept = rows.join(stay.hint("merge"), (F.col(digest) == F.col(stay_digest)) & (F.col(row) == F.col(stay_row)), "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -439,6 +439,27 @@ def test_mixing_meets_targets(spark):
     assert unreachable.miss > 0.5 and np.isfinite(unreachable.miss)
 
 
+def test_dedup_with_clashing_columns(docs):
+    clashing = docs.withColumnsRenamed({"n_chars": "a.b", "lang": "__xd_row"}).withColumn("__xd_digest", F.lit("x"))
+    kept = exact_dedup.drop_duplicates(clashing)
+    rows = kept.collect()
+    assert kept.columns == clashing.columns and {r["a.b"] for r in rows} == {7} and {r["__xd_digest"] for r in rows} == {"x"}
+    assert len(rows) == len({r[1] or "" for r in text_rows()}) and {r["__xd_row"] for r in rows} <= {r[2] for r in text_rows()}
+
+
+def test_warc_and_language_keep_large_ids(spark):
+    large = 2**53 + 1
+    pages = spark.createDataFrame([(large, "u", "a"), (None, "u", "b"), (large + 2, "u", "a")], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.refers_to for r in warc.archive_round_trip(pages).collect()}
+    assert got == {large: large + 2, None: None, large + 2: None}
+    hot = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("html"))
+    rows = warc.archive_round_trip(hot).collect()
+    assert sum(r.record_type == "revisit" for r in rows) == 99 and {r.refers_to for r in rows if r.record_type == "revisit"} == {297}
+    texts = spark.createDataFrame([(large, "hello"), (None, "\u00bd \u00b2 \u2167")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.lang_pred for r in langid.predict(texts, langid.ByteCNN(["de", "en"])).collect()}.keys() == {large, None}
+    assert langid.has_letter("\u00bd x") and not langid.has_letter("\u00bd \u00b2 \u2167 12 !")
+
+
 # --- WARC, images ------------------------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark):

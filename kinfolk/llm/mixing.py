@@ -21,7 +21,8 @@ Defined results
   any label the posterior is uniform. Several labels of a document all count.
 * No tokens at all: every rate is 1. A null doc_id draws the same lot for all such rows.
 * A domain too short of tokens for its target gives what the others leave: it takes no part in the fit.
-* Targets that no total of the ladder can meet (labels too few to tell the domains apart): the least squares at the full total; ``miss`` tells by how much.
+* Targets that no total of the ladder can meet (labels too few to tell the domains apart): the least squares
+  at the full total with residuals weighed by the domains' own tokens, so that vague posteriors don't empty the mixture; ``miss`` tells by how much.
 * Empty table: no rows. Extra columns are carried by ``thin`` whatever their names: own columns take names that are free.
 """
 
@@ -208,12 +209,12 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, most: float
     weight = sum(targets.values())
     share = [max(targets[d] / weight, 1e-6) for d in DOMAINS]
 
-    def fit(total: float) -> Rates:
+    def fit(total: float, scale: list[float]) -> Rates:
         goal = [s * total if i == 0 or s * total <= SUPPLY * most * mass[i] else None for i, s in enumerate(share)]
         rates, best, still = Rates([], most, [], goal), Rates([], most, [math.inf], [1.0]), 0
         now = [x * min(1.0, most) for x in mass]
         # The first step is as long as the trace of the small matrix allows for sure.
-        length = 1 / max(sum(sums[f"g{i}"] / sums["all"] / share[i] for i in k if goal[i] is not None), 1e-12)
+        length = 1 / max(sum(sums[f"g{i}"] / sums["all"] / scale[i] for i in k if goal[i] is not None), 1e-12)
         while True:
             rates.residual = [0.0 if y is None else x - y for x, y in zip(now, goal)]
             still = 0 if rates.miss < 0.9 * best.miss else still + 1
@@ -221,25 +222,23 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, most: float
                 best = Rates(list(rates.steps), most, rates.residual, goal)
             if best.miss < tolerance or still > 6 or len(rates.steps) >= iterations:
                 return best
-            rates.steps.append([length * r / s for r, s in zip(rates.residual, share)])
+            rates.steps.append([length * r / s for r, s in zip(rates.residual, scale)])
             moved = F.col("now.rate") - F.col("now.before")
             got = cells.withColumn("now", rates.now()).agg(*(F.sum(m[i] * F.col("now.rate")).alias(f"got{i}") for i in k), F.sum(F.col("n") * moved * moved).alias("moved")).first()
             after = [x / sums["all"] for x in got[:-1]]
-            met = sum((x - y) ** 2 / s for x, y, s, g in zip(after, now, share, goal) if g is not None)
+            met = sum((x - y) ** 2 / s for x, y, s, g in zip(after, now, scale, goal) if g is not None)
             now = after
             if met > 0:
                 length = got["moved"] / sums["all"] / met
 
     if total_share is not None:
-        return fit(total_share)
+        return fit(total_share, share)
     full = min(1.0, most * mass[0] / share[0])
-    first = None
     for part in LADDER:
-        rates = fit(full * part)
+        rates = fit(full * part, share)
         if rates.miss <= tolerance * 5:
             return rates
-        first = first or rates
-    return first
+    return fit(full, [max(x, 1e-6) for x in mass])
 
 
 def _fitted(scored: DataFrame, name: Callable[[str], str], targets: dict[str, float], most: float) -> tuple[DataFrame, Rates]:

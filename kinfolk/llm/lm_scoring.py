@@ -5,7 +5,7 @@ A text's tokens are its lower-cased words and one end. P(token | history) is the
 * P(class | last three classes), from a log-bilinear network: the history's vectors, each scaled by
   its position's weights, add up to a prediction that is compared with every class vector. It is
   trained by noise-contrastive estimation and normalised by a softmax over all classes when scoring
-  (blocks of tokens, one matrix product each);
+  (blocks of histories, one matrix product each, a history's sum kept for its next token);
 * P(word | class) = (c + 1) / (N_class + V_class + 1) from counts over all training tokens. The most
   frequent words are classes of their own; every other word, known or not, belongs to the class of its
   last two bytes, and each such class reserves one place for unknown words. Both factors are normalised.
@@ -92,64 +92,101 @@ class LogBilinear:
         rng, n = np.random.default_rng(seed), len(self.bias)
         sums = [np.full_like(p, 1e-3) for p in self.parameters()]
         log_noise = np.log(noise * self.noise).astype(np.float32)
-        places = np.arange(WIDTH)
+        reach = np.cumsum(self.noise)
+        reach /= reach[-1]
+        cells = np.arange(n + 1)[:, None] * WIDTH + np.arange(WIDTH)
 
-        def summed(rows: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
-            """Sums of the values' rows that share a number."""
-            return np.bincount((rows[:, None] * WIDTH + places).ravel(), values.ravel(), most * WIDTH).reshape(most, WIDTH).astype(np.float32)
+        def summed(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+            """Sums of the values' rows that share a class."""
+            return np.bincount(cells[keys].ravel(), values, (n + 1) * WIDTH).reshape(n + 1, WIDTH).astype(np.float32)
 
         for _ in range(epochs):
-            order = rng.permutation(len(examples))
-            for at in range(0, len(order), batch):
-                x = examples[order[at : at + batch]].astype(np.int64)
-                h, y = x[:, :HISTORY], x[:, HISTORY]
-                drawn, times = np.unique(rng.choice(n, noise, p=self.noise), return_counts=True)
-                seen = self.history[h]  # (batch, HISTORY, WIDTH)
-                guess = (seen * self.position).sum(1)
-                wanted = self.target[y]
-                true = (guess * wanted).sum(1) + self.bias[y] - log_noise[y]
-                false = guess @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn]
+            shuffled = np.ascontiguousarray(examples[rng.permutation(len(examples))].T)
+            for at in range(0, shuffled.shape[1], batch):
+                h, y = shuffled[:HISTORY, at : at + batch], shuffled[HISTORY, at : at + batch]
+                times = np.bincount(reach.searchsorted(rng.random(noise), side="right"), minlength=n)
+                drawn = np.flatnonzero(times)
+                times = times[drawn]
+                guess = _guesses(self.scaled(), h)
+                wanted, against = self.target[y], self.target[drawn]
+                true = (guess * wanted).sum(1) + (self.bias - log_noise)[y]
+                false = guess @ against.T
+                false += self.bias[drawn] - log_noise[drawn]
                 up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - P(from the data)
                 np.negative(false, out=false)
                 with np.errstate(over="ignore"):
                     np.exp(false, out=false)
                 false += 1
                 down = np.divide(-times.astype(np.float32), false, out=false)
-                d_guess = up[:, None] * wanted + down @ self.target[drawn]
-                d_target, d_bias = summed(y, up[:, None] * guess, n), np.bincount(y, up, n).astype(np.float32)
+                d_guess = up[:, None] * wanted + down @ against
+                d_target, d_bias = summed(y, (up[:, None] * guess).ravel())[:n], np.bincount(y, up, n).astype(np.float32)
                 d_target[drawn] += down.T @ guess
                 d_bias[drawn] += down.sum(0)
-                d_history = summed(h.ravel(), (d_guess[:, None] * self.position).reshape(-1, WIDTH), n + 1)
-                grads = [d_history, (seen * d_guess[:, None]).sum(0), d_target, d_bias]
+                # By place and class, from which both the history's and the position's gradients follow.
+                wide = d_guess.ravel().astype(np.float64)
+                by_place = np.stack([summed(k, wide) for k in h])
+                grads = [(by_place * self.position[:, None]).sum(0), (by_place * self.history).sum(1), d_target, d_bias]
                 for p, g, s in zip(self.parameters(), grads, sums):
-                    g /= len(x)
+                    g /= len(y)
                     s += g * g
                     p += rate * g / np.sqrt(s)
         return self
 
-    def log_probabilities(self, history: np.ndarray, target: np.ndarray, block: int = 1024) -> np.ndarray:
-        """Natural logarithm of the softmax at each target."""
-        scaled = [self.history * self.position[i] for i in range(HISTORY)]
-        out = np.empty(len(target), np.float64)
-        weights = np.ascontiguousarray(self.target.T)
+    def scaled(self) -> list[np.ndarray]:
+        """The history's vectors under each position's weights."""
+        return [self.history * self.position[i] for i in range(HISTORY)]
+
+    def log_probabilities(self, history: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return Normalised(self).log_probabilities(history, target)
+
+
+def _guesses(scaled: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Predictions of histories, given as a row of classes for each place."""
+    guess = scaled[0][h[0]]
+    for i in range(1, HISTORY):
+        guess += scaled[i][h[i]]
+    return guess
+
+
+class Normalised:
+    """A trained network's softmax. Each history's normaliser is computed once, when a text first has it.
+
+    There are at most (classes + 1) ** HISTORY histories, so the table is bounded (68 MB for 256 classes),
+    and memory is taken only for the pages in use.
+    """
+
+    def __init__(self, model: LogBilinear):
+        self.scaled, self.bias = model.scaled(), model.bias
+        self.weights = np.ascontiguousarray(model.target.T)
+        self.parts = [s @ self.weights for s in self.scaled]  # what a class at a place adds to every logit
+        self.base = len(self.bias) + 1
+        self.log_sum = np.zeros(self.base**HISTORY, np.float32)  # 0: not known yet
         # No logit exceeds this bound, so where it is far from float32's the maximum needn't be taken away.
-        bound = sum(np.linalg.norm(s, axis=1).max() for s in scaled) * np.linalg.norm(weights, axis=0).max() + np.abs(self.bias).max()
+        bound = sum(np.linalg.norm(s, axis=1).max() for s in self.scaled) * np.linalg.norm(self.weights, axis=0).max() + np.abs(self.bias).max()
+        self.take_top = bound > 60
+
+    def _learn(self, keys: np.ndarray, block: int = 1024) -> None:
         ones = np.ones(len(self.bias), np.float32)
-        for at in range(0, len(target), block):
-            h, y = history[at : at + block], target[at : at + block]
-            guess = scaled[0][h[:, 0]]
-            for i in range(1, HISTORY):
-                guess = guess + scaled[i][h[:, i]]
-            logits = guess @ weights
+        for at in range(0, len(keys), block):
+            own = keys[at : at + block]
+            logits = _guesses(self.scaled, np.stack([own // self.base ** (HISTORY - 1 - i) % self.base for i in range(HISTORY)])) @ self.weights
             logits += self.bias
-            chosen = logits[np.arange(len(y)), y]
-            if bound > 60:
-                top = logits.max(1)
+            top = logits.max(1) if self.take_top else np.float32(0)
+            if self.take_top:
                 logits -= top[:, None]
-                chosen = chosen - top
             np.exp(logits, out=logits)
-            out[at : at + block] = chosen - np.log(logits @ ones)
-        return out
+            self.log_sum[own] = np.log(logits @ ones) + top
+
+    def log_probabilities(self, history: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the softmax at each target."""
+        key = history[:, 0].astype(np.int64)
+        for i in range(1, HISTORY):
+            key = key * self.base + history[:, i]
+        self._learn(np.unique(key[self.log_sum[key] == 0]))
+        chosen = self.bias[target].astype(np.float64)
+        for i in range(HISTORY):
+            chosen += self.parts[i][history[:, i], target]
+        return chosen - self.log_sum[key]
 
 
 # --- counts ------------------------------------------------------------------------------------
@@ -303,7 +340,7 @@ def train(sequences: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
 SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
 
-def score_block(vocabulary: Vocabulary, index: dict[bytes, int], model: LogBilinear, texts: list[str | None]) -> tuple:
+def score_block(vocabulary: Vocabulary, index: dict[bytes, int], model: Normalised, texts: list[str | None]) -> tuple:
     """Sums of a block of texts without their infrequent words, and those words."""
     words: list[bytes] = []
     sizes = []
@@ -337,8 +374,8 @@ def score_frequent(docs: DataFrame, shared, block_chars: int = 1 << 20) -> DataF
     """One row per input row, with its infrequent words still to be looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = shared.value
-        index = vocabulary.index()
+        vocabulary, trained = shared.value
+        index, model = vocabulary.index(), Normalised(trained)
         task = TaskContext.get()
         row = (task.partitionId() if task else 0) << 33
         for batch in batches:

@@ -568,3 +568,38 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert seen["language_id"] - seen["exact_dedup"] == Counter([0, 1, 9])
     assert 3 not in seen["near_dedup"] and 2 in seen["near_dedup"]
     assert set(seen["packing"]) == set(seen["mixing"])
+
+
+@pytest.mark.parametrize("reach", [0.3, 40.0])
+def test_lm_softmax_of_kept_histories(reach):
+    """Histories met before and new ones, small and huge logits: each token's value is that of a plain softmax."""
+    rng = np.random.default_rng(1)
+    model = lm_scoring.LogBilinear(np.arange(1, 31, dtype=float))
+    model.target[...] = rng.normal(0, reach, model.target.shape)
+    scorer = lm_scoring.Normalised(model)
+    for n in (1, 2_500, 2_500):
+        history, target = rng.integers(0, 31, (n, lm_scoring.HISTORY)), rng.integers(0, 30, n)
+        logits = (model.history[history].astype(float) * model.position).sum(1) @ model.target.T.astype(float) + model.bias
+        top = logits.max(1)
+        want = logits[np.arange(n), target] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        assert np.allclose(scorer.log_probabilities(history, target), want, rtol=1e-4, atol=1e-4)
+
+
+def test_lm_learns_a_chain():
+    """A word order that always repeats is learned almost surely."""
+    rng = np.random.default_rng(2)
+    chain = (np.arange(4_000) * 7 % 20).astype(np.int16)
+    examples = np.stack([chain[2:-1], chain[1:-2], chain[:-3], chain[3:]], 1)
+    model = lm_scoring.LogBilinear(np.full(20, 100.0))
+    before = model.log_probabilities(examples[:, :3], examples[:, 3]).mean()
+    model.fit(examples[rng.permutation(len(examples))], epochs=20)
+    assert before < -2.5 and model.log_probabilities(examples[:, :3], examples[:, 3]).mean() > -0.5
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """Word order that repeats is worth a tenth of a digit a token at least over counts alone."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(np.roll(WORDS, int(rng.integers(0, len(WORDS)))).tolist() * 3)) for i in range(300)]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), langid.id_crc("doc_id") % 7 == 2).where("held_out").collect()
+    tokens = sum(r.n_tokens for r in got)
+    assert len(got) > 20 and sum(r.score - r.base_score for r in got) / tokens > 0.1

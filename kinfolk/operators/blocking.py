@@ -7,9 +7,10 @@ caps remove keys before the join expands them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.operators.windows import top_k
@@ -47,10 +48,30 @@ def token_df(records: DataFrame, tokens: str) -> DataFrame:
     return records.select("ckey", F.explode(F.array_distinct(tokens)).alias("token")).groupBy("ckey", "token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def tokens_of(records: DataFrame, tokens: str) -> DataFrame:
+    """(rec_id, side, ckey, token): each record's distinct tokens."""
+    return records.select("rec_id", "side", "ckey", F.explode(F.array_distinct(tokens)).alias("token"))
+
+
+def recoded(held: DataFrame, code: Callable[[Column], Column]) -> DataFrame:
+    """Token rows under another spelling (skeletons, phonetic codes), which is made once a distinct token; empty ones leave."""
+    return with_distinct(held, "token", "__code", code).where(F.col("__code") != "").select("rec_id", "side", "ckey", F.col("__code").alias("token")).distinct()
+
+
+def with_distinct(df: DataFrame, column: str, name: str, make: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``name``, computed once for every distinct value of a column and joined back; a null value's is null."""
+    known = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(name, make(F.col(column)))
+    return df.join(known, column, "left")
+
+
 def rarest(records: DataFrame, tokens: str, k: int, least_df: int = 2) -> DataFrame:
     """(rec_id, side, ckey, token): each record's k rarest tokens of df >= least_df; ties by token."""
-    held = records.select("rec_id", "side", "ckey", F.explode(F.array_distinct(tokens)).alias("token"))
-    frequent = token_df(records, tokens).where(F.col("df") >= least_df)
+    return rarest_rows(tokens_of(records, tokens), k, least_df)
+
+
+def rarest_rows(held: DataFrame, k: int, least_df: int = 2) -> DataFrame:
+    """The same for distinct token rows."""
+    frequent = held.groupBy("ckey", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
     ranked = top_k(held.join(frequent, ["ckey", "token"]), ["rec_id", "side"], k, "df", "token")
     return ranked.select("rec_id", "side", "ckey", "token")
 
@@ -85,20 +106,31 @@ def key_join(keys: DataFrame, records: DataFrame, caps: dict[int, Caps] | None =
 
     weight = ln(1 + N / df), N being the partition's indexed records.
     """
-    caps = caps or {b: c for b, (_, c) in FAMILIES.items()}
     on = ["ckey", "bit", "ka", "kb"]
     keys = keys.distinct()
     sizes = records.where(F.col("side") == "i").groupBy("ckey").agg(F.count(F.lit(1)).alias("n_index"))
-    stats = keys.groupBy(*on).agg(F.sum((F.col("side") == "i").cast("long")).alias("df"), F.sum((F.col("side") == "q").cast("long")).alias("qdf"))
-    limit = F.coalesce(*(F.when(F.col("bit") == b, F.lit(c.max_df)) for b, c in caps.items()))
-    pairs = F.coalesce(*(F.when(F.col("bit") == b, F.lit(c.max_pairs)) for b, c in caps.items()))
-    admitted = stats.where((F.col("df") > 0) & (F.col("qdf") > 0) & (F.col("df") <= limit) & (F.col("df") * F.col("qdf") <= pairs))
+    admitted = admitted_keys(keys, caps)
     admitted = admitted.join(sizes, "ckey").select(*on, F.log1p(F.col("n_index") / F.col("df")).alias("weight"))
     q = keys.where(F.col("side") == "q").select(*on, F.col("rec_id").alias("q_id"))
     i = keys.where(F.col("side") == "i").select(*on, F.col("rec_id").alias("i_id"))
     return q.join(admitted, on).join(i, on).select("q_id", "i_id", "ckey", "bit", "weight")
 
 
+def admitted_keys(keys: DataFrame, caps: dict[int, Caps] | None = None) -> DataFrame:
+    """(ckey, bit, ka, kb, df, qdf) of the keys that both sides have and the caps let through; keys are distinct rows."""
+    caps = caps or {b: c for b, (_, c) in FAMILIES.items()}
+    stats = keys.groupBy("ckey", "bit", "ka", "kb").agg(F.sum((F.col("side") == "i").cast("long")).alias("df"), F.sum((F.col("side") == "q").cast("long")).alias("qdf"))
+    limit = F.coalesce(*(F.when(F.col("bit") == b, F.lit(c.max_df)) for b, c in caps.items()))
+    pairs = F.coalesce(*(F.when(F.col("bit") == b, F.lit(c.max_pairs)) for b, c in caps.items()))
+    return stats.where((F.col("df") > 0) & (F.col("qdf") > 0) & (F.col("df") <= limit) & (F.col("df") * F.col("qdf") <= pairs))
+
+
+def join_budget(keys: DataFrame, caps: dict[int, Caps] | None = None) -> DataFrame:
+    """(bit, n_keys, n_rows, largest): the rows that the key join will make per family, known before it runs."""
+    rows = F.col("df") * F.col("qdf")
+    return admitted_keys(keys.distinct(), caps).groupBy("bit").agg(F.count(F.lit(1)).alias("n_keys"), F.sum(rows).alias("n_rows"), F.max(rows).alias("largest"))
+
+
 def score_pairs(joined: DataFrame, digits: int = 6) -> DataFrame:
     """(ckey, q_id, i_id, bscore, bits): summed weights and the families that found the pair."""
     return joined.groupBy("ckey", "q_id", "i_id").agg(F.round(F.sum("weight"), digits).alias("bscore"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).cast("long").alias("bits"))

@@ -79,17 +79,26 @@ def shared_owners(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("i_id").agg(F.count_distinct("q_id").alias("owners")).where(F.col("owners") > 1)
 
 
-def error_taxonomy(truth: DataFrame, candidates: DataFrame, selected: DataFrame) -> DataFrame:
-    """(category, n): missed pairs by where they were lost, wrong pairs by whose record they took."""
+def error_taxonomy(truth: DataFrame, candidates: DataFrame, selected: DataFrame, entities: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """(category, n): missed pairs by where they were lost, wrong pairs by whose record they took.
+
+    With entities (q_id, group) the counts are per group and over all (null group); a query without a row there is
+    counted over all only.
+    """
     true, key = truth.select("q_id", "i_id").distinct(), ["q_id", "i_id"]
     made, possible = selected.select(*key).distinct(), candidates.select(*key).distinct()
     missed = true.join(made, key, "left_anti").join(possible.withColumn("c", F.lit(1)), key, "left")
-    missed = missed.select(F.when(F.col("c").isNull(), "blocking_miss").otherwise("missed_in_candidates").alias("category"))
+    missed = missed.select("q_id", F.when(F.col("c").isNull(), "blocking_miss").otherwise("missed_in_candidates").alias("category"))
     owner = true.select("i_id").distinct().withColumn("owned", F.lit(1))
     matched = true.select("q_id").distinct().withColumn("matched", F.lit(1))
     wrong = made.join(true, key, "left_anti").join(matched, "q_id", "left").join(owner, "i_id", "left")
-    wrong = wrong.select(F.when(F.col("matched").isNull(), "fp_on_singleton").when(F.col("owned").isNotNull(), "fp_stolen").otherwise("fp_distractor").alias("category"))
-    return missed.unionByName(wrong).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    wrong = wrong.select("q_id", F.when(F.col("matched").isNull(), "fp_on_singleton").when(F.col("owned").isNotNull(), "fp_stolen").otherwise("fp_distractor").alias("category"))
+    counted = missed.unionByName(wrong).groupBy("q_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    over_all = counted.groupBy("category").agg(F.sum("n").alias("n"))
+    if entities is None:
+        return over_all
+    own = counted.join(entities.select("q_id", group), "q_id").groupBy(group, "category").agg(F.sum("n").alias("n"))
+    return own.unionByName(over_all.select(F.lit(None).cast(own.schema[group].dataType).alias(group), "category", "n"))
 
 
 def trait_lift(marked: DataFrame, traits: list[str], found: str = "found") -> DataFrame:

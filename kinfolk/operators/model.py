@@ -78,6 +78,30 @@ def hard_negatives(pairs: DataFrame, most: int) -> DataFrame:
     return positives.unionByName(_largest(pairs.where("y = 0"), hard, most - n, F.col("q_id"), F.col("i_id")))
 
 
+def uniform(*keys: str) -> Column:
+    """A number above 0 and below 1 that the keys decide, from 32 bits of their MD5."""
+    text = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def weighted_sample(rows: DataFrame, weight: str, n: int, *keys: str) -> DataFrame:
+    """``n`` rows without replacement, drawn in proportion to weight: those of the least -ln(u) / weight. Rows without a positive weight stay out."""
+    drawn = rows.where(F.col(weight) > 0)
+    # The same order on a scale of a few dozen units, so that the histogram stays small whatever the weights.
+    return _largest(drawn, F.log(weight) - F.log(-F.log(uniform(*keys))), n, *(F.col(k) for k in keys), steps=4000)
+
+
+def truncated(pairs: DataFrame, n: int) -> DataFrame:
+    """The n pairs of the largest p; ties by ids."""
+    return _largest(pairs, F.col("p"), n, F.col("q_id"), F.col("i_id"))
+
+
+def known_ids(ids: DataFrame, records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Ids with their records' columns, and the number of ids that no record has: a table of one row (n_unknown)."""
+    found = ids.join(records, key)
+    return found, ids.join(records.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("n_unknown"))
+
+
 def entity_subsample(queries: DataFrame, index: DataFrame, truth: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     """Whole clusters: queries (q_id) by hash, the index rows (i_id) that truth (q_id, i_id) gives to them, and unowned rows at the same rate by another hash."""
     kept = queries.where(hash_sample(F.col("q_id"), share))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolk.functions import similarity, text
+from kinfolk.functions import phonetics, similarity, text
 from kinfolk.operators import blocking, decide, diagnostics, features, model, retrieval, windows
 from kinfolk.plans import worlds
 from kinfolk.plans.worlds import DOCUMENTS, ORDERS, PAIRS, VECTORS
@@ -151,18 +151,40 @@ def rare_topk_tokens(spark, d):
     return blocking.rarest(worlds.documents(spark, d), "name", 3)
 
 
+def _rare_rows_sql(name: str, rows: str, k: int) -> str:
+    return f"""{name} AS (SELECT rec_id, side, ckey, token FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY df, token) AS rn
+        FROM {rows} JOIN (SELECT ckey, token, count(*) AS df FROM {rows} GROUP BY 1, 2 HAVING count(*) >= 2) USING (ckey, token)) WHERE rn <= {k})"""
+
+
+def _skeleton_rows_sql(name: str, column: str) -> str:
+    held = f"SELECT DISTINCT rec_id, side, ckey, token FROM (SELECT rec_id, side, ckey, unnest({column}) AS token FROM d)"
+    return f"""{name}_held AS ({held}), {name}_code AS (SELECT token, {_skeleton_sql('token')} AS code FROM (SELECT DISTINCT token FROM {name}_held)),
+        {name} AS (SELECT DISTINCT rec_id, side, ckey, code AS token FROM {name}_held JOIN {name}_code USING (token) WHERE code <> '')"""
+
+
+def _crossed_sql(bit: int, a: str, b: str) -> str:
+    return f"SELECT a.rec_id, a.side, a.ckey, {bit} AS bit, a.token AS ka, b.token AS kb FROM {a} a JOIN {b} b USING (rec_id)"
+
+
+_FIRST_NUMS = "(SELECT DISTINCT rec_id, side, ckey, unnest(nums[1:2]) AS token FROM d)"
 _KEYS = {
     "NP": (4, [_rare_sql("n3", "name", 3)], "SELECT a.rec_id, a.side, a.ckey, 4 AS bit, a.token AS ka, b.token AS kb FROM n3 a JOIN n3 b USING (rec_id) WHERE a.token < b.token"),
-    "NT": (0, [_rare_sql("n2", "name", 2), _rare_sql("a4", "address", 4)], "SELECT a.rec_id, a.side, a.ckey, 0 AS bit, a.token AS ka, b.token AS kb FROM n2 a JOIN a4 b USING (rec_id)"),
-    "NH": (3, [_rare_sql("n2", "name", 2)], "SELECT a.rec_id, a.side, a.ckey, 3 AS bit, a.token AS ka, b.token AS kb FROM n2 a JOIN (SELECT DISTINCT rec_id, unnest(nums[1:2]) AS token FROM d) b USING (rec_id)"),
+    "NT": (0, [_rare_sql("n2", "name", 2), _rare_sql("a4", "address", 4)], _crossed_sql(0, "n2", "a4")),
+    "NH": (3, [_rare_sql("n2", "name", 2)], _crossed_sql(3, "n2", _FIRST_NUMS)),
     "NC": (5, [], "SELECT rec_id, side, ckey, 5 AS bit, whole AS ka, '' AS kb FROM d"),
 }
+#: The other families; phonetic codes have no SQL.
+_MORE_KEYS = {
+    "NS": (1, [_skeleton_rows_sql("ns", "name"), _rare_rows_sql("ns2", "ns", 2), _skeleton_rows_sql("hs", "address"), _rare_rows_sql("hs3", "hs", 3)], _crossed_sql(1, "ns2", "hs3")),
+    "AN": (2, [_rare_sql("a3", "address", 3)], _crossed_sql(2, _FIRST_NUMS, "a3")),
+}
 
 
 def _block_sql(families: list[str], last: str) -> str:
-    tables = list(dict.fromkeys(t for f in families for t in _KEYS[f][1]))
-    keys = " UNION ALL ".join(f"({_KEYS[f][2]})" for f in families)
-    limit = "CASE bit " + " ".join(f"WHEN {b} THEN {blocking.FAMILIES[b][1].max_df}" for b, *_ in _KEYS.values()) + " END"
+    every = _KEYS | _MORE_KEYS
+    tables = list(dict.fromkeys(t for f in families for t in every[f][1]))
+    keys = " UNION ALL ".join(f"({every[f][2]})" for f in families)
+    limit = "CASE bit " + " ".join(f"WHEN {b} THEN {blocking.FAMILIES[b][1].max_df}" for b, *_ in every.values()) + " END"
     return f"""WITH {", ".join([DOCUMENTS, *tables])}, keys AS (SELECT DISTINCT * FROM ({keys})), sizes AS (SELECT ckey, count(*) AS n FROM d WHERE side = 'i' GROUP BY 1),
         stats AS (SELECT ckey, bit, ka, kb, count(*) FILTER (WHERE side = 'i') AS df, count(*) FILTER (WHERE side = 'q') AS qdf FROM keys GROUP BY ALL),
         admitted AS (SELECT ckey, bit, ka, kb, ln(1 + n / df) AS weight FROM stats JOIN sizes USING (ckey) WHERE df > 0 AND qdf > 0 AND df <= {limit} AND df * qdf <= 50000),
@@ -173,9 +195,13 @@ def _block_sql(families: list[str], last: str) -> str:
 
 def _keys(docs: DataFrame, families: list[str]) -> DataFrame:
     rare = lambda c, k: blocking.rarest(docs, c, k)
+    coded = lambda c, k, code: blocking.rarest_rows(blocking.recoded(blocking.tokens_of(docs, c), code), k)
     make = {
         "NP": lambda: blocking.pair_keys(rare("name", 3), 4), "NT": lambda: blocking.cross_keys(rare("name", 2), rare("address", 4), 0),
         "NH": lambda: blocking.cross_keys(rare("name", 2), blocking.first_tokens(docs, "nums", 2), 3), "NC": lambda: blocking.whole_keys(docs, "whole", 5),
+        "NS": lambda: blocking.cross_keys(coded("name", 2, text.skeleton), coded("address", 3, text.skeleton), 1),
+        "AN": lambda: blocking.cross_keys(blocking.first_tokens(docs, "nums", 2), rare("address", 3), 2),
+        "PH": lambda: blocking.cross_keys(coded("name", 2, lambda t: F.get(phonetics.nysiis_all(F.array(t)), F.lit(0))), coded("address", 3, text.skeleton), 6),
     }
     return decide.union_of([make[f]() for f in families])
 
@@ -193,11 +219,28 @@ def _add_block(name: str, families: list[str]) -> None:
     query(_block_sql(families, "SELECT * FROM best"))(run)
 
 
-for _family in _KEYS:
+for _family in [*_KEYS, *_MORE_KEYS]:
     _add_block(f"block_{_family.lower()}", [_family])
 _add_block("block_union_score_bits_topk", list(_KEYS))
 
 
+@query()
+def block_ph(spark, d):
+    return _block(spark, d, ["PH"])
+
+
+@query(_block_sql(["NP", "NC", "AN"], "SELECT bit, count(*) AS n_keys, sum(df * qdf)::BIGINT AS n_rows, max(df * qdf)::BIGINT AS largest FROM (SELECT bit, df, qdf FROM stats JOIN admitted USING (ckey, bit, ka, kb)) GROUP BY 1"))
+def join_budget(spark, d):
+    return blocking.join_budget(_keys(worlds.documents(spark, d), ["NP", "NC", "AN"]))
+
+
+@query(f"WITH {DOCUMENTS} SELECT source, count(*) AS n, count(code) AS coded, count(DISTINCT code) AS codes FROM (SELECT source, sha256(lower(text)) AS code FROM d) GROUP BY 1")
+def distinct_text_codes(spark, d):
+    """A costly function of whole texts, computed once a distinct text."""
+    coded = blocking.with_distinct(worlds.documents(spark, d).select("source", "text"), "text", "code", lambda t: F.sha2(F.lower(t).cast("binary"), 256))
+    return coded.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("code").alias("coded"), F.count_distinct("code").alias("codes"))
+
+
 # --- retrieval -----------------------------------------------------------------------------------
 
 _BM25 = f"""WITH {DOCUMENTS}, tf AS (SELECT rec_id, ckey, term, count(*) AS tf FROM (SELECT rec_id, ckey, unnest(name) AS term FROM d WHERE side = 'i') GROUP BY 1, 2, 3),
@@ -224,7 +267,8 @@ def bm25_empty_keep(spark, d):
     return retrieval.keep_more_where(_bm25(spark, d).join(bare, "i_id"), 5, 40, F.col("bare")).select("ckey", "q_id", "i_id", "rank")
 
 
-@query()
+@query(_block_sql(list(_KEYS), ", " + _BM25.removeprefix(f"WITH {DOCUMENTS}, ") + """, u AS (SELECT ckey, q_id, i_id, bscore, bits, brank FROM best UNION ALL SELECT ckey, q_id, i_id, NULL, 256, NULL FROM top WHERE rank <= 5)
+    SELECT ckey, q_id, i_id, coalesce(max(bscore), 0)::DOUBLE AS bscore, bit_or(bits)::BIGINT AS bits, coalesce(min(brank), 90)::BIGINT AS brank, NULL::DOUBLE AS dcos FROM u GROUP BY 1, 2, 3"""))
 def retrievers_merged(spark, d):
     keyed = _block(spark, d, list(_KEYS))
     return blocking.merge_retrievers(keyed, [(_bm25(spark, d).where("rank <= 5"), blocking.BM25_BIT)])
@@ -332,6 +376,28 @@ def hard_negative_cap(spark, d):
     return model.hard_negatives(rows, scored.where("y = 1").count() * 3 // 2).select("q_id", "i_id", "y")
 
 
+_UNIFORM = "((('0x' || substr(md5(q_id || '|' || i_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT q_id, i_id, ln(qty) - ln(-ln({_UNIFORM})) AS key FROM p WHERE y = 0 AND qty > 0) SELECT q_id, i_id FROM (SELECT *, row_number() OVER (ORDER BY key DESC, q_id, i_id) AS rn FROM n) WHERE rn <= (SELECT count(*) // 3 FROM n)")
+def weighted_negatives(spark, d):
+    negatives = worlds.pairs(spark, d).where("y = 0 and qty > 0").withColumn("qty", F.col("qty").cast("double"))
+    return model.weighted_sample(negatives, "qty", negatives.count() // 3, "q_id", "i_id").select("q_id", "i_id")
+
+
+@query(f"WITH {PAIRS} SELECT q_id, i_id, p FROM (SELECT *, row_number() OVER (ORDER BY p DESC, q_id, i_id) AS rn FROM p) WHERE rn <= (SELECT count(*) // 4 FROM p)")
+def shortlist_truncation(spark, d):
+    scored = worlds.pairs(spark, d).select("q_id", "i_id", "p")
+    return model.truncated(scored, scored.count() // 4)
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT p_partkey AS i_id FROM part WHERE p_size > 10) SELECT 'known' AS part, count(*) AS n FROM p JOIN c USING (i_id) UNION ALL SELECT 'unknown', count(*) FROM p WHERE i_id NOT IN (SELECT i_id FROM c)")
+def known_id_lookup(spark, d):
+    parts = worlds.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("i_id"))
+    found, unknown = model.known_ids(worlds.pairs(spark, d).select("q_id", "i_id"), parts, "i_id")
+    return found.agg(F.count(F.lit(1)).alias("n")).select(F.lit("known").alias("part"), "n").unionByName(unknown.select(F.lit("unknown").alias("part"), F.col("n_unknown").alias("n")))
+
+
 # --- metrics and reports -----------------------------------------------------------------------------
 
 def _vector_case(spark, d):
@@ -394,6 +460,14 @@ def error_taxonomy(spark, d):
     return diagnostics.error_taxonomy(truth, candidates, selected)
 
 
+@query(f"""WITH {VECTORS}, m AS (SELECT q_id, i_id FROM k WHERE rank <= 3), x AS (SELECT q_id, CASE WHEN k.i_id IS NULL THEN 'blocking_miss' ELSE 'missed_in_candidates' END AS category FROM (SELECT * FROM t EXCEPT SELECT * FROM m) t LEFT JOIN k USING (q_id, i_id)
+    UNION ALL SELECT q_id, CASE WHEN q_id NOT IN (SELECT q_id FROM t) THEN 'fp_on_singleton' WHEN i_id IN (SELECT i_id FROM t) THEN 'fp_stolen' ELSE 'fp_distractor' END FROM (SELECT * FROM m EXCEPT SELECT * FROM t))
+    SELECT country, category, count(*) AS n FROM x JOIN e USING (q_id) GROUP BY GROUPING SETS ((country, category), (category))""")
+def error_taxonomy_by_country(spark, d):
+    entities, truth, candidates, selected = _vector_case(spark, d)
+    return diagnostics.error_taxonomy(truth, candidates, selected, entities, "country")
+
+
 @query(f"WITH {PAIRS} SELECT q_id, src, count(*) AS n FROM (SELECT q_id, (i_id % 2 + 2)::INT AS src FROM p) GROUP BY 1, 2 HAVING count(*) > CASE src WHEN 2 THEN 2 ELSE 3 END")
 def caps_violations(spark, d):
     return diagnostics.cap_violations(worlds.pairs(spark, d).withColumn("src", (F.col("i_id") % 2 + 2).cast("int")), {2: 2, 3: 3})

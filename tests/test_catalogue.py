@@ -9,7 +9,8 @@ import pytest
 from kinfolk.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
-FAST = ["union_sources", "scan_dedupe_first", "partition_blank_country", "skeleton_tokens", "rare_topk_tokens", "block_union_score_bits_topk", "knn_topk", "group_rank_max_top2", "expected_f_select", "error_taxonomy", "oracle_topk_bound", "tag_rates"]
+FAST = ["union_sources", "scan_dedupe_first", "partition_blank_country", "skeleton_tokens", "rare_topk_tokens", "block_union_score_bits_topk", "knn_topk", "group_rank_max_top2", "expected_f_select", "error_taxonomy", "oracle_topk_bound", "tag_rates",
+        "block_ns", "block_an", "join_budget", "distinct_text_codes", "retrievers_merged", "error_taxonomy_by_country", "weighted_negatives", "shortlist_truncation", "known_id_lookup"]
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the tables are not here")
 
 

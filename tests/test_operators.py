@@ -146,3 +146,49 @@ def test_headers_of_several_files(spark, tmp_path):
     for k in "ab":
         (tmp_path / "truth" / f"{k}.tsv").write_text(f"source1_entity_id\tmatched_entity_ids\nS1-{k}\tS2-1, ,S3-2\nS1-x\t{k}\n")
     assert {r.q_id: r.ids for r in records.read_truth(spark, str(tmp_path / "truth")).collect()} == {"S1-a": ["S2-1", "S3-2"], "S1-b": ["S2-1", "S3-2"], "S1-x": ["b"]}
+
+
+def test_phonetic_key_family(spark):
+    """Names that sound alike meet although no token is shared; the address side must share a skeleton."""
+    from kinfolk.functions import phonetics, text
+    from kinfolk.operators import blocking
+
+    rows = spark.createDataFrame([(1, "q", "us", ["philips"], ["main"]), (2, "i", "us", ["filips"], ["main"]), (3, "i", "us", ["garden"], ["main"]), (4, "i", "us", None, []), (5, "i", "fr", ["philips"], ["main"])], "rec_id long, side string, ckey string, name array<string>, address array<string>")
+    code = lambda t: F.get(phonetics.nysiis_all(F.array(t)), F.lit(0))
+    names = blocking.rarest_rows(blocking.recoded(blocking.tokens_of(rows, "name"), code), 2, least_df=1)
+    places = blocking.rarest_rows(blocking.recoded(blocking.tokens_of(rows, "address"), text.skeleton), 3, least_df=1)
+    joined = blocking.key_join(blocking.cross_keys(names, places, 6), rows)
+    assert {(r.q_id, r.i_id, r.bit) for r in joined.collect()} == ({(1, 2, 6)} if phonetics.nysiis("philips") == phonetics.nysiis("filips") else set())
+    assert phonetics.nysiis("philips") == phonetics.nysiis("filips")
+
+
+def test_codes_of_distinct_values(spark):
+    from kinfolk.operators import blocking
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "")], "id int, t string")
+    got = blocking.with_distinct(rows, "t", "up", F.upper)
+    assert sorted((r.id, r.up) for r in got.collect()) == [(1, "A"), (2, "A"), (3, None), (4, "")]
+    assert blocking.with_distinct(rows.where("false"), "t", "up", F.upper).count() == 0
+
+
+def test_weighted_sample_follows_weights(spark):
+    from kinfolk.operators import model
+
+    rows = spark.range(4_000).select((F.col("id") % 50).alias("q_id"), F.col("id").alias("i_id"), F.when(F.col("id") % 2 == 0, 9.0).when(F.col("id") % 101 != 0, 1.0).alias("w"))
+    got = model.weighted_sample(rows, "w", 500, "q_id", "i_id").collect()
+    assert len({r.i_id for r in got}) == len(got) == 500 and all(r.w is not None for r in got)
+    heavy = sum(r.w == 9.0 for r in got) / 500
+    assert 0.82 < heavy < 0.96  # 0.9 at first, less as the heavy ones are used up
+    assert sorted(r.i_id for r in model.weighted_sample(rows, "w", 500, "q_id", "i_id").collect()) == sorted(r.i_id for r in got)
+    assert model.weighted_sample(rows, "w", 0, "q_id", "i_id").count() == 0 and model.weighted_sample(rows.where("false"), "w", 5, "q_id", "i_id").count() == 0
+    assert model.weighted_sample(rows, "w", 10**6, "q_id", "i_id").count() == rows.where("w > 0").count()
+    pairs = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (2, 1, 0.9), (3, 1, 0.1)], "q_id int, i_id int, p double")
+    assert sorted((r.q_id, r.i_id) for r in model.truncated(pairs, 2).collect()) == [(1, 1), (2, 1)]
+
+
+def test_unknown_ids_are_counted(spark):
+    from kinfolk.operators import model
+
+    ids, records = spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "i int"), spark.createDataFrame([(1, "a"), (2, "b")], "i int, v string")
+    found, unknown = model.known_ids(ids, records, "i")
+    assert sorted((r.i, r.v) for r in found.collect()) == [(1, "a"), (2, "b"), (2, "b")] and unknown.first().n_unknown == 2

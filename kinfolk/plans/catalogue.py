@@ -85,9 +85,9 @@ def _skeleton_sql(token: str) -> str:
     t = f"(SELECT left(x, 1) || replace(substr(x, 2), 'h', '') FROM (SELECT {t} AS x))"
     t = f"translate({t}, '{SKELETON_FROM}', '{SKELETON_TO}')"
     t = f"(SELECT left(x, 1) || regexp_replace(substr(x, 2), '[aeiou]', '', 'g') FROM (SELECT {t} AS x))"
-    for c in "abcdefghijklmnopqrstuvwxyz":
+    for c in "abcdefghijklmnopqrstuvwxyz0123456789_":
         t = f"regexp_replace({t}, '{c}+', '{c}', 'g')"
-    return t
+    return f"CASE WHEN regexp_full_match({token}, '[0-9]*') THEN {token} ELSE {t} END"
 
 
 @query(f"SELECT token, n, {_skeleton_sql('token')} AS skeleton FROM (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS token FROM part) GROUP BY 1)")

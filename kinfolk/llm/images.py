@@ -246,9 +246,9 @@ def _described(images: list[bytes | None], tests: np.ndarray, step: int) -> list
         else:
             by_shape.setdefault(pixels.shape, []).append((data, pixels))
     for (h, w), same in by_shape.items():
-        step = max(1, SLICE_PIXELS // (h * w))
-        for at in range(0, len(same), step):
-            part = same[at : at + step]
+        together = max(1, SLICE_PIXELS // (h * w))
+        for at in range(0, len(same), together):
+            part = same[at : at + together]
             for (data, _), points in zip(part, describe(np.stack([p for _, p in part]), tests, step)):
                 out[data] = points.tobytes()
     return [b"" if x is None else out[x] for x in images]

@@ -535,6 +535,18 @@ def test_image_edits_are_found():
     assert images.from_pgm(None) is None and images.from_pgm(b"P5\n4 4\n255\nxx") is None and len(images.describe(np.zeros((1, 3, 3)), tests)[0]) == 0
 
 
+def test_extract_describes_every_level(spark):
+    """The table form has the corners of the whole pyramid, as the array form has them, for images of several sizes."""
+    rng, tests = np.random.default_rng(8), images.pattern()
+    drawn = [images.picture(rng.normal(size=8), size) for size in (64, 64, 96)]
+    table = spark.createDataFrame([(n, bytearray(images.to_pgm(x))) for n, x in enumerate(drawn)], "image_id long, image binary")
+    for step in (1, images.INDEX_STEP):
+        for r in images.extract(table, step).collect():
+            points = np.frombuffer(r.points, images.POINT)
+            assert np.array_equal(points, images.describe(images.from_pgm(images.to_pgm(drawn[r.image_id]))[None], tests, step)[0])
+            assert len(set((points["place"] & 15).tolist())) > 2
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_near_descriptors_all_meet(spark, broadcast):
     """The bands find what an all-pairs Hamming search finds, up to MOST_BITS wherever the bits are."""
